@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MATCH, GRAM = 100, 40
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 12 << 20
 #: Bytes that are parsed at a time, and phrases that a task combines at a time.
-SEGMENT, COMBINED = 1 << 20, 1_000_000
+SEGMENT, COMBINED = 1 << 19, 400_000
 LOW = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
