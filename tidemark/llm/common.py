@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that go to a Python worker at a time; texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,6 +43,8 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it again: later stages, and retries after a lost executor, start from the files."""

@@ -35,7 +35,9 @@ from .common import Scratch
 MATCH, GRAM = 100, 40
 BUCKET_BYTES = 12 << 20
 #: Bytes that are parsed at a time, and phrases that a task combines at a time.
-SEGMENT, COMBINED = 1 << 19, 400_000
+SEGMENT, COMBINED = 1 << 19, 200_000
+#: Suffixes are dealt into this many times as many buckets as phrases; entries that a task holds before it sends them.
+FINER, HELD = 8, 20_000
 LOW = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
@@ -165,6 +167,7 @@ class Combiner:
                 used, local = np.unique(doc[own], return_inverse=True)
                 yield b, 1, pack(ids[used], keys[used], local.astype(U32), first[own].astype(U32), further[own].astype(U32))
         self.__init__(self.buckets)
+        pa.default_memory_pool().release_unused()
 
 
 def parser(buckets: int):
@@ -270,20 +273,28 @@ def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def entries_of(buckets: int):
-    """Open dictionary entries with their bytes, one row for each batch and bucket."""
+    """Open dictionary entries with their bytes, a row for some thousands of one bucket."""
+
+    def send(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for b, rows in found.items():
+            blob = pack(np.array([r[0] for r in rows], I64), np.array([r[1] for r in rows], I64), np.array([r[2] for r in rows], I64), np.array([len(r[3]) for r in rows], I64), np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, list] = {}
+            held = 0
             for doc, key, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = text.as_buffer().to_pybytes() if blobs else b""
                 for blob in blobs or ():
                     rows = np.frombuffer(blob, dtype=OPEN)
                     for b, start, further in zip(bucket_of(rows["trigger"].astype(U64), buckets).tolist(), rows["start"].tolist(), rows["further"].tolist()):
                         found.setdefault(b, []).append((doc, key, start, data[start : start + further + MATCH]))
-            for b, rows in found.items():
-                blob = pack(np.array([r[0] for r in rows], I64), np.array([r[1] for r in rows], I64), np.array([r[2] for r in rows], I64), np.array([len(r[3]) for r in rows], I64), np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+                        held += 1
+                if held >= HELD:
+                    yield from send(found)
+                    found, held = {}, 0
+            yield from send(found)
 
     return run
 
@@ -298,8 +309,7 @@ def suffix_order(pdf: pd.DataFrame) -> pd.DataFrame:
     at = base[entry] + inside
     suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, MATCH)[at]).view(f"V{MATCH}").ravel()
     order = np.argsort(suffixes, kind="stable")
-    ranked = suffixes[order]
-    equal = ranked[1:] == ranked[:-1]
+    equal = np.concatenate([np.zeros(0, bool), *(suffixes[order[i + 1 : i + 50_001]] == suffixes[order[i : i + 50_000][: len(order) - 1 - i]] for i in range(0, len(order) - 1, 50_000))])
     run = np.empty(len(order), dtype=np.int64)
     run[order] = np.concatenate([[0], np.cumsum(~equal)])
     ids, keys, start = ids[entry], keys[entry], start[entry] + inside
@@ -347,7 +357,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes
     copies = facts.where("copy").select("doc_id", "text_key").distinct()
     ranges = found.join(copies, ["doc_id", "text_key"], "left_anti").groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"))
     held = scratch.save(source.join(ranges, ["doc_id", "text_key"]))
-    entries = held.where(F.size("open") > 0).select("doc_id", "text_key", "data", "open").mapInArrow(entries_of(buckets), "bucket int, blob binary")
+    entries = held.where(F.size("open") > 0).select("doc_id", "text_key", "data", "open").mapInArrow(entries_of(FINER * buckets), "bucket int, blob binary")
     more = entries.groupBy("bucket").applyInPandas(suffix_order, "doc_id long, text_key long, whole binary").groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("more"))
     rows = held.select("doc_id", "text_key", "data", "whole").join(more, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "data", F.concat("whole", F.coalesce("more", F.array())).alias("blobs"))
 
