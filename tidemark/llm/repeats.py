@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MATCH, GRAM = 100, 40
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes that are parsed at a time, and phrases that a task combines at a time.
 SEGMENT, COMBINED = 1 << 19, 200_000
 #: Suffixes are dealt into this many times as many buckets as phrases; entries that a task holds before it sends them.
-FINER, HELD = 8, 20_000
+FINER, HELD = 3, 20_000
 LOW = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
