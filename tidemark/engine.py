@@ -25,7 +25,6 @@ class Engine:
             spark.conf.set(k, v)
         self.store = Store(spark, self.root)
         self.views: set[str] = set()
-        self.skipped = 0
 
     def table(self, schema: str, name: str) -> SnapshotTable:
         return SnapshotTable(self.spark, self.root, schema, name, self.store)
@@ -99,7 +98,7 @@ class Engine:
         target = self.table(*name)
         done = max(target.flushed_lsn(), self.state()["backfill"].get(".".join(name), 0)) if target.exists() else 0
         own = own.where(F.col("lsn") > done)
-        facts = own.agg(F.max("lsn").alias("last"), F.min("lsn").alias("first"), F.max(F.when(F.col("op") == "T", F.struct("lsn", "seq"))).alias("cut"), F.max(F.col("op").isin("U", "D")).alias("mixed"), F.max("op").alias("any"), F.max(F.size(F.coalesce("toast", F.array().cast("array<string>")))).alias("toast"), F.count(F.when(F.col("op") == "I", 1)).alias("inserts")).first()
+        facts = own.agg(F.max("lsn").alias("last"), F.min("lsn").alias("first"), F.max(F.when(F.col("op") == "T", F.struct("lsn", "seq"))).alias("cut"), F.max(F.col("op").isin("U", "D")).alias("mixed"), F.max(F.size(F.coalesce("toast", F.array().cast("array<string>")))).alias("toast"), F.count(F.when(F.col("op") == "I", 1)).alias("inserts")).first()
         if facts["last"] is None:
             return None
         if not target.exists():
@@ -112,7 +111,7 @@ class Engine:
         keys = primary_key or [f.name for f in fields if f.is_key]
         summary = {"last-lsn": facts["last"], "first-lsn": facts["first"], **({"batch-id": batch_id} if batch_id is not None else {})}
         if facts["cut"] is not None:
-            own = own.where(F.struct("lsn", "seq") > F.struct(F.lit(facts["cut"]["lsn"]), F.lit(facts["cut"]["seq"])))
+            own = own.where((F.col("lsn") > facts["cut"]["lsn"]) | ((F.col("lsn") == facts["cut"]["lsn"]) & (F.col("seq") > facts["cut"]["seq"])))
         base = None if facts["cut"] is not None else target.read()
         if not keys:
             rows = own.where("op = 'I'").select(merge.typed(F.col("new_row"), schema).alias("row")).select("row.*")
