@@ -77,8 +77,9 @@ def block_array(fp: Column, radius: int) -> Column:
 
 
 def shared(a: Column, b: Column) -> Column:
-    """Sum over shingles of the smaller multiplicity."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    """Sum over shingles of the smaller multiplicity; where ``b`` repeats none, the number of common shingles."""
+    counted = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    return F.when(F.size(F.array_distinct(b)) == F.size(b), F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
