@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -281,3 +282,28 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.count() > 100
+
+
+def _distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        row = list(accumulate(zip(row, row[1:], y), lambda left, t: min(t[0] + (c != t[2]), t[1] + 1, left + 1), initial=i))
+    return row[-1]
+
+
+def test_edits_and_word_alignment_against_the_table():
+    rng, sure = random.Random(5), 0
+    for _ in range(800):
+        a = [rng.choice(["a", "bb", "cat", "dogs", "é1"]) for _ in range(rng.randint(1, 25))]
+        b = list(a)
+        for _ in range(rng.randint(0, 5)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 2)] = rng.choice([[], ["zz"], ["cat", "a"]])
+        x, y = " ".join(a), " ".join(b)
+        want = _distance(x, y)
+        assert lines.edits(x, y) == want
+        most = int(max(len(x), len(y)) * 0.2)
+        if lines.surely_within(x, y, most):
+            sure += 1
+            assert want <= most
+    assert sure > 200
