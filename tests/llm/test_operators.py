@@ -307,3 +307,15 @@ def test_edits_and_word_alignment_against_the_table():
             sure += 1
             assert want <= most
     assert sure > 200
+
+
+def test_lines_with_changed_words_and_letters_meet(spark):
+    rng, rows = random.Random(11), []
+    for i in range(60):
+        words = [prose(rng, 1) for _ in range(rng.randrange(6, 40))]
+        x = " ".join(words)
+        words[len(words) // 2] = "z" * len(words[len(words) // 2])
+        rows += [(2 * i, x), (2 * i + 1, " ".join(words))]
+    want = sum(_distance(rows[k][1], rows[k + 1][1]) <= len(rows[k][1]) * 0.2 for k in range(0, 120, 2))
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want > 55 and sum(r["n_removed"] for r in got) == want
