@@ -319,3 +319,10 @@ def test_lines_with_changed_words_and_letters_meet(spark):
     want = sum(_distance(rows[k][1], rows[k + 1][1]) <= len(rows[k][1]) * 0.2 for k in range(0, 120, 2))
     got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert want > 55 and sum(r["n_removed"] for r in got) == want
+
+
+def test_short_lines_and_lines_without_spaces_go(spark):
+    rows = [(1, "Read more\n今天天气很好我们去公园散步吧\n---\n\nend"), (2, "read more!\n今天天气很好我们去公园散步吧\n***\n\n---"), (3, "one long word: internationalisation"), (4, "one long word: internationalizatio"), (5, "no"), (6, "on")]
+    got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["kept_text"] == "***\n"
+    assert [got[i]["n_removed"] for i in (3, 4, 5, 6)] == [0, 1, 0, 0]
