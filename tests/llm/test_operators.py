@@ -326,3 +326,19 @@ def test_short_lines_and_lines_without_spaces_go(spark):
     got = {r["doc_id"]: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1]["n_removed"] == 0 and got[2]["kept_text"] == "***\n"
     assert [got[i]["n_removed"] for i in (3, 4, 5, 6)] == [0, 1, 0, 0]
+
+
+def test_documents_shorter_than_the_item_are_compared(spark):
+    rng = random.Random(21)
+    items = [prose(rng, n).split() for n in (12, 30, 60)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = [(10 * i + cut, " ".join(w[: len(w) - cut])) for i, w in enumerate(items) for cut in (0, 1, 4, 9)]
+    want = {}
+    for i, w in enumerate(items):
+        for cut in (0, 1, 4, 9):
+            shared = max(len(w) - cut - 4, 1 if len(w) - cut > 0 else 0) if len(w) - cut >= 5 else 0
+            if shared / (len(w) - 4) >= 0.8:
+                want[10 * i + cut, i] = round(shared / (len(w) - 4), 9)
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want and len(want) > 6
+    assert stages.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).count() == len(rows) - len(want)

@@ -3,7 +3,8 @@
 An item of m shingles (five words each, lower case, white space as separator) is compared with every window
 of m shingles of every document.  Windows are found where the document holds shingles of the item: a window
 as similar as asked must hold at least ``2t / (1 + t) * m`` of the item's, so some hit lies within its
-first ``m - that`` places, and no other window is built.  Window and item fingerprints (64 bits, every
+first ``m - that`` places, and no other window is built.  A document shorter than the item is one window as
+a whole; with w shingles it must hold ``t / (1 + t) * (m + w)`` of the item's.  Window and item fingerprints (64 bits, every
 shingle weighing as often as it occurs) meet by multi-index Hamming blocks: with ``radius + 1`` blocks two
 fingerprints within ``radius`` agree on one at least, so none is lost.  Candidates are verified by the exact
 weighted Jaccard similarity, the sum of the smaller over the sum of the larger multiplicities.
@@ -86,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     """``doc_id, item_id, start_word, n_shingles, distance, similarity`` of each matching window.
 
     Null and empty texts hold no window; items of under ``shingle`` words are one shingle and match only a
-    document that is as short.  Repeated rows of either table count once; ids may be shared by different
+    document that is as short.  ``n_shingles`` is the size of the window, less than the item's where the document is shorter.  Repeated rows of either table count once; ids may be shared by different
     texts; null ids are kept.  Further columns are not read.  An empty table gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession)
@@ -104,29 +105,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     hits = hashed.select("doc_id", "text_key", F.size("s").alias("n"), F.posexplode("s").alias("pos", "h")).join(few(item_rows.select("h").distinct()), "h").distinct()
     hits = scratch.save(hits)
     # Of every item the shingle occurrences that a similar window needs; one item's hits may repeat in a document.
-    need = F.ceil(F.col("m") * F.lit(2 * similar / (1 + similar)) - F.lit(1e-9)).cast("int")
-    placed = hits.join(few(item_rows.select("item", "m", "h").distinct()), "h").where(F.col("n") >= F.col("m"))
+    span = F.least("n", "m")
+    need = F.ceil((F.col("m") + span) * F.lit(similar / (1 + similar)) - F.lit(1e-9)).cast("int")
+    placed = hits.join(few(item_rows.select("item", "m", "h").distinct()), "h").where(F.col("n") >= F.col("m") * similar - 1e-9)
     enough = placed.groupBy("doc_id", "text_key", "n", "item", "m").agg(F.collect_set("pos").alias("at")).where(F.size("at") >= need)
-    reach = F.col("m") - need
-    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - reach), F.least(F.col("pos"), F.col("n") - F.col("m")))
-    windows = enough.select("doc_id", "text_key", "n", "m", need.alias("need"), F.explode("at").alias("pos")).where(F.col("pos") - reach <= F.col("n") - F.col("m")).select("doc_id", "text_key", "m", F.explode(starts).alias("start")).distinct()
+    reach = F.col("w") - F.col("need")
+    starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - reach), F.least(F.col("pos"), F.col("n") - F.col("w")))
+    windows = enough.select("doc_id", "text_key", "n", span.alias("w"), need.alias("need"), F.explode("at").alias("pos")).where(F.col("pos") - reach <= F.col("n") - F.col("w")).select("doc_id", "text_key", "w", "n", F.explode(starts).alias("start")).distinct()
     windows = scratch.save(windows)
     holders = scratch.save(windows.select("doc_id", "text_key").distinct())
     holders = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
     again = keyed.alias("d").join(holders.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("d.text_key").eqNullSafe(F.col("h.text_key")), "left_semi")
     texts = scratch.save(again.select("doc_id", "text_key", shingles(F.col("text"), shingle).alias("s")).dropDuplicates(["doc_id", "text_key"]))
-    cut = windows.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_key") == F.col("t.text_key"))).select("w.doc_id", "w.text_key", "w.m", "w.start", F.slice("t.s", F.col("w.start") + 1, F.col("w.m")).alias("window"))
-    summed = cut.select("doc_id", "text_key", "m", "start", F.explode("window").alias("h")).groupBy("doc_id", "text_key", "m", "start").agg(*lane_sums(F.col("h")))
-    marked = scratch.save(summed.select("doc_id", "text_key", "m", "start", fingerprint(F.col("m")).alias("fp")))
+    cut = windows.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_key") == F.col("t.text_key"))).select("w.doc_id", "w.text_key", "w.w", "w.n", "w.start", F.slice("t.s", F.col("w.start") + 1, F.col("w.w")).alias("window"))
+    summed = cut.select("doc_id", "text_key", "w", "n", "start", F.explode("window").alias("h")).groupBy("doc_id", "text_key", "w", "n", "start").agg(*lane_sums(F.col("h")))
+    marked = scratch.save(summed.select("doc_id", "text_key", "w", "n", "start", fingerprint(F.col("w")).alias("fp")))
     left = marked.select("*", F.explode(block_array(F.col("fp"), radius)).alias("block"))
     right = item_fp.select("item", "m", "item_fp", F.explode(block_array(F.col("item_fp"), radius)).alias("block"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    candidates = left.join(few(right), ["m", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "m", "start", "item", "distance").distinct()
+    longer = marked.where("w = n").select("*", F.explode(F.sequence(F.col("w") + 1, F.greatest(F.col("w") + 1, F.floor(F.col("w") / F.lit(similar) + F.lit(1e-9)).cast("int")))).alias("m"))  # whole documents meet the longer items too
+    sized = left.withColumn("m", F.col("w")).unionByName(longer.select("*", F.explode(block_array(F.col("fp"), radius)).alias("block")))
+    candidates = sized.join(few(right), ["m", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "w", "m", "start", "item", "distance").distinct()
     candidates = scratch.save(candidates)
     full = candidates.alias("c").join(texts.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))).join(few(items).alias("i"), F.col("c.item") == F.col("i.item"))
-    both = full.select("c.doc_id", "i.item_id", "c.start", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.m")).alias("window"), "i.shingles")
+    both = full.select("c.doc_id", "i.item_id", "c.start", "c.w", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.w")).alias("window"), "i.shingles")
     same = shared(F.col("window"), F.col("shingles"))
-    return both.withColumn("same", same).withColumn("similarity", F.col("same") / (2 * F.col("m") - F.col("same"))).where(F.col("similarity") >= similar - 1e-9).select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("m").alias("n_shingles"), "distance", "similarity")
+    return both.withColumn("same", same).withColumn("similarity", F.col("same") / (F.col("w") + F.col("m") - F.col("same"))).where(F.col("similarity") >= similar - 1e-9).select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("w").alias("n_shingles"), "distance", "similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
