@@ -342,3 +342,17 @@ def test_documents_shorter_than_the_item_are_compared(spark):
     got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got} == want and len(want) > 6
     assert stages.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).count() == len(rows) - len(want)
+
+
+def test_stage_drops_documents_of_similarity_four_fifths(spark):
+    rng, rows, want = random.Random(31), [], set()
+    for i in range(40):
+        words = prose(rng, 150).split()
+        rows.append((2 * i, " ".join(words)))
+        for k in rng.sample(range(5, 145), 1 + i % 4):
+            words[k] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+        a, b = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (rows[-2][1], rows[-1][1]))
+        want |= {2 * i} | ({2 * i + 1} if len(a & b) / len(a | b) < 0.8 else set())
+    got = stages.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == want and 40 < len(want) < 60
