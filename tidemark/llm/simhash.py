@@ -163,7 +163,7 @@ def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.nda
 
 
 def _near_column(size_a: Column, size_b: Column, fp_a: Column, fp_b: Column, radius: int) -> Column:
-    return F.bit_count(fp_a.bitwiseXOR(fp_b)) <= radius
+    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= radius).cast("int")
 
 
 SKETCH = "doc_id long, text_key long, id long, size int, fp long, keys array<long>"
