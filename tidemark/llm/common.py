@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,29 +43,46 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # keeps the frames, so no id is used again
         if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it again: later stages, and retries after a lost executor, start from the files."""
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df`` and read it again: later stages, and retries after a lost executor, start from the files.
+
+        With ``by``, an int column of few values, its values are folders, and a filter on it reads only theirs.
+        """
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
         self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files that nothing refers to any more
         out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = (out, path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         for frame in frames:
-            if path := self.paths.pop(id(frame), None):
+            if path := self.paths.pop(id(frame), (None, None))[1]:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one value; ``unpack`` is told their types."""
+    return b"".join([np.array([len(a) for a in arrays], dtype="<i8").tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob, dtype="<i8", count=len(kinds))
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(sizes.tolist(), kinds):
+        out.append(np.frombuffer(blob, dtype=kind, count=n, offset=at))
+        at += n * kind.itemsize
+    return out
+
+
 def per_row(df: DataFrame, fn: Callable[[list], pa.RecordBatch], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch's columns as Arrow arrays."""
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, pack, unpack
 
 MATCH, GRAM = 100, 40
 BUCKET_BYTES = 4 << 20
@@ -97,19 +97,6 @@ def parse(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return np.searchsorted(starts, first, "right") - 1, first, last - first, h[t], content
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(a) for a in arrays], dtype=I64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
-
-
-def unpack(blob: bytes, *kinds: np.dtype) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, dtype=I64, count=len(kinds))
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(blob, dtype=kind, count=n, offset=at))
-        at += n * kind.itemsize
-    return out
-
-
 PHRASES = (I64, I64, U64, U64, U32, U32, U32)  # documents: id, key; phrases: trigger, content, document, start, further
 STARTS = (I64, I64, U32, U32, U32)  # documents: id, key; document, start, further
 

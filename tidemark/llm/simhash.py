@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
@@ -156,63 +156,86 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 #: Of the least shingle hashes of a text as many are keys: texts of similarity 0.8 share none of eight in 0.2 ** 8 of cases.
 KEYS = 8
+#: Texts that a task sketches before it sends their keys.
+HELD = 50_000
 
 
 def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.ndarray, radius: int) -> np.ndarray:
-    return (np.bitwise_count((fp_a ^ fp_b).view(np.uint64)) <= radius).astype(np.int8)
+    return (np.bitwise_count(fp_a ^ fp_b) <= radius).astype(np.int8)
 
 
-def _near_column(size_a: Column, size_b: Column, fp_a: Column, fp_b: Column, radius: int) -> Column:
-    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= radius).cast("int")
+SKETCHED = "kind int, bucket int, blob binary, doc_id long, text_key long, id long"
 
 
-SKETCH = "doc_id long, text_key long, id long, size int, fp long, keys array<long>"
+def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, radius: int, crowded: int) -> DataFrame:
+    """All texts (kind 0), and what ``meet`` asks of the different texts that each task holds."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("id", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int, np.ndarray]] = {}
 
-def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, radius: int = 22, similar: float = 0.8) -> DataFrame:
-    """Class of each document by the similarity of its set of shingles: ``(doc_id, component_id)``, one row per input row.
+        def send() -> Iterator[pa.RecordBatch]:
+            ids = np.fromiter(held, dtype=np.uint64, count=len(held)).view(np.int64)
+            size, fp = (np.array(x) for x in ([v[0] for v in held.values()], np.array([v[1] for v in held.values()], dtype=np.uint64)))
+            owner = np.repeat(np.arange(len(held)), [len(v[2]) for v in held.values()])
+            keys = np.concatenate([v[2] for v in held.values()]) * np.uint64(0x9E3779B97F4A7C15)  # least hashes are small numbers
+            for kind, bucket, blob in meet.outgoing(buckets, ids, size, fp, owner, keys ^ keys >> np.uint64(32), similar, partial(_near, radius=radius), crowded):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], schema=schema)
+            held.clear()
+
+        for batch in batches:
+            ids = []
+            for text in as_bytes(batch.column(1)):
+                ids.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
+                if ids[-1] not in held:
+                    found = np.unique(shingle_hashes(text, shingle))
+                    held[ids[-1]] = len(found), fold(found), found[:KEYS]
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), batch.column(2), pa.array(np.array(ids, dtype=np.uint64).view(np.int64))], schema=schema)
+            if len(held) >= HELD:
+                yield from send()
+        if held:
+            yield from send()
+
+    return source.select("doc_id", "text", "text_key").mapInArrow(run, SKETCHED)
+
+
+def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, radius: int = 22, similar: float = 0.8, crowded: int = meet.CROWDED) -> DataFrame:
+    """Class of each document by the similarity of its set of shingles: ``(doc_id, text_key, component_id, keep)``, one row per input row.
 
     Texts that share one of their least shingle hashes and have SimHashes within ``radius`` bits are verified by
     the exact Jaccard similarity of their sets.  At 0.8 SimHashes differ by about 10 bits with a standard
     deviation of 3.  Texts with the same words are one; nulls and ids are treated as by ``near_duplicates``.
+    ``keep`` marks the rows of a class with its first (doc_id, text_key); a null doc_id comes after all others here.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, fps, keys = [], [], [], []
-        for text in as_bytes(batch.column(1)):
-            found = np.unique(shingle_hashes(text, shingle))
-            ids.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
-            sizes.append(len(found))
-            fps.append(fold(found))
-            keys.append(found[:KEYS].view(np.int64))
-        signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (ids, fps)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed[0], pa.array(sizes, pa.int32()), signed[1], pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_key", "id", "size", "fp", "keys"])
-
-    rows = scratch.save(per_row(source.select("doc_id", "text", "text_key"), sketch, SKETCH))
-    distinct = scratch.save(rows.groupBy("id").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    packed = scratch.save(_sketched(source, max(1, -(-total // (8 * meet.BUCKET_BYTES))), shingle, similar, radius, crowded), by="kind")
+    rows = packed.where("kind = 0").select("doc_id", "text_key", "id")
+    texts_of = scratch.save(rows.groupBy("id").agg(F.min("text_key").alias("text_key")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "text_key"), "id")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts_of, "id")
         texts = scratch.save(source.select("text_key", "text").join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]))
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
 
         def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                good = []
+                good, known = [], {}
                 for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
-                    x, y = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
-                    same = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(same >= (similar - 1e-9) * (len(x) + len(y) - same))
+                    for t in (x, y):  # the first text of a key comes many times
+                        if t not in known:
+                            known[t] = np.unique(shingle_hashes(t, shingle))
+                    same = len(np.intersect1d(known[x], known[y], assume_unique=True))
+                    good.append(same >= (similar - 1e-9) * (len(known[x]) + len(known[y]) - same))
                 yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         found = scratch.save(both.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long"))
         scratch.drop(texts)
         return found
 
-    entries = distinct.select("id", "size", "fp", F.explode("keys").alias("key"))
-    labels = meet.components(scratch, entries, verify, similar, partial(_near, radius=radius), partial(_near_column, radius=radius))
-    known = distinct.select("id", "least_id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    classes = known.groupBy("label").agg(F.min("least_id").alias("component_id"))
-    return rows.join(known.join(classes, "label").select("id", "component_id"), "id").select("doc_id", "component_id")
+    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), radius, crowded)
+    known = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
+    classes = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
+    return known.join(classes, "label").select("doc_id", "text_key", "component_id", F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key")).alias("keep"))
