@@ -230,15 +230,37 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1 << 10, 1 << 24])
-def test_repeats(docs, bucket, monkeypatch):
-    monkeypatch.setattr(repeats, "COMBINED", 200)
-    want = brute_repeats(corpus())
-    for r in repeats.remove_repeats(docs, bucket_bytes=bucket).collect():
+def hot_corpus():
+    """One passage in many different contexts, contexts that share its edges, and long runs of one letter."""
+    rng = random.Random(77)
+    passage = prose(rng, 14)
+    sides = [prose(rng, 12) for _ in range(6)]
+    texts = [f"{prose(rng, 9)} {rng.choice(sides)} {passage[rng.randrange(4):]} {rng.choice(sides)} {prose(rng, 9)}" for _ in range(60)]
+    texts += ["z" * n for n in (99, 100, 101, 300, 301)] + ["q" * 150 + passage + "q" * 150, None, "", texts[3], texts[4] + texts[5]]
+    return [(i, t) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("bucket, hot, rows", [(1 << 10, 500, corpus), (1 << 24, 3, hot_corpus), (1 << 11, 8, hot_corpus)])
+def test_repeats(spark, bucket, hot, rows):
+    want = brute_repeats(rows())
+    docs = spark.createDataFrame(rows(), SCHEMA if rows is corpus else "doc_id long, text string").repartition(3)
+    got = repeats.remove_repeats(docs, bucket_bytes=bucket, hot=hot, combined=200).collect()
+    assert len(got) == len(rows())
+    for r in got:
         i = -1 if r["doc_id"] is None else r["doc_id"]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[i], i
 
 
+def test_places_in_the_order_of_suffixes():
+    rng = random.Random(12)
+    for alphabet in ("a", "ab", "abcdefghij "):
+        data = "".join(rng.choice(alphabet) for _ in range(700)) * 2
+        starts = np.arange(len(data) - 99)
+        got = repeats.ranks(np.frombuffer(data.encode(), np.uint8), starts)
+        order = {s: k for k, s in enumerate(sorted({data[i : i + 100] for i in starts}))}
+        assert got.tolist() == [order[data[i : i + 100]] for i in starts]
+
+
 def test_decontamination(spark, docs):
     rows = corpus()
     item = " ".join(rows[7][1].split()[10:50])

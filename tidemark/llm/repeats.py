@@ -10,12 +10,14 @@ occurrence stays.  Order: doc_id, then text hash, then position.
    holds no repeated string.  Every later occurrence of an equal phrase is repeated as a whole.  Each task
    combines its own phrases first, so frequent ones are shuffled once per task.
 3. *Suffix order.*  Only dictionary entries that share a trigger but differ can still share strings.  Their
-   suffixes are sorted (to ``MATCH`` bytes, all that the question needs); in each run of equal ones all
-   but the first in corpus order are repeated.
+   suffix array is built by prefix doubling (to ``MATCH`` bytes, all that the question needs); in each run of
+   equal suffixes all but the first in corpus order are repeated.
 4. The starts found in 2 and 3 are united per document.
 
 Between tasks phrases travel as packed arrays, one row for each task and bucket; the number of buckets
-grows with the bytes of the corpus, so no bucket outgrows a task.
+grows with the bytes of the corpus.  A trigger with very many different entries would outgrow its bucket: its
+entries go past it (a task that sees ``HOT`` of them sends them on by document and tells the bucket), and their
+suffixes are dealt out by the hash of their own ``MATCH`` bytes instead of by trigger, so they spread evenly.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BUCKET_BYTES = 4 << 20
 SEGMENT, COMBINED = 1 << 19, 200_000
 #: Suffixes are dealt into this many times as many buckets as phrases; entries that a task holds before it sends them.
 FINER, HELD = 3, 20_000
+#: Different entries of one trigger, in a task or a bucket, from which their suffixes are dealt out by their own hashes.
+HOT = 500
 LOW = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
@@ -99,6 +103,10 @@ def parse(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
 
 PHRASES = (I64, I64, U64, U64, U32, U32, U32)  # documents: id, key; phrases: trigger, content, document, start, further
 STARTS = (I64, I64, U32, U32, U32)  # documents: id, key; document, start, further
+OPENED = (*STARTS, U64)  # and trigger
+SPELLED = (I64, I64, U32, U32, U64)  # documents: id, key; document, start, hash of the bytes there
+#: What a row of the parse holds: phrases for a trigger's bucket, starts that are repeated, entries of hot triggers, hot triggers.
+NEW, GONE, PAST, TOLD = range(4)
 
 
 def bucket_of(trigger: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,8 +123,8 @@ def firsts(trigger: np.ndarray, content: np.ndarray, place: np.ndarray, order: n
 class Combiner:
     """What one task has parsed, until it is sent on."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.ids, self.keys, self.count = buckets, [], [], [], 0
+    def __init__(self, buckets: int, hot: int):
+        self.buckets, self.hot, self.parts, self.ids, self.keys, self.count = buckets, hot, [], [], [], 0
 
     def add(self, parsed: tuple[np.ndarray, ...], ids: np.ndarray, keys: np.ndarray, offset: np.ndarray) -> None:
         doc, first, further, trigger, content = parsed
@@ -141,25 +149,40 @@ class Combiner:
         order = np.lexsort((place, content, trigger))
         head, later = firsts(trigger, content, place, order)
         sent = order[head]
+        t = trigger[sent]
+        runs = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        many = np.diff(np.append(runs, len(t))) >= self.hot
+        if many.any():
+            told = t[runs[many]]
+            to = bucket_of(told, self.buckets)
+            for b in np.unique(to).tolist():
+                yield int(b), TOLD, pack(told[to == b])
+            hot = np.repeat(many, np.diff(np.append(runs, len(t))))
+            past, sent = sent[hot], sent[~hot]
+            where = doc[past] % self.buckets
+            for b in np.unique(where).tolist():
+                own = past[where == b]
+                used, local = np.unique(doc[own], return_inverse=True)
+                yield b, PAST, pack(ids[used], keys[used], local.astype(U32), first[own].astype(U32), further[own].astype(U32), trigger[own])
         edges = np.searchsorted(bucket_of(trigger[sent], self.buckets), np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
             own = sent[edges[b] : edges[b + 1]]
             used, local = np.unique(doc[own], return_inverse=True)
-            yield b, 0, pack(ids[used], keys[used], trigger[own], content[own], local.astype(U32), first[own].astype(U32), further[own].astype(U32))
+            yield b, NEW, pack(ids[used], keys[used], trigger[own], content[own], local.astype(U32), first[own].astype(U32), further[own].astype(U32))
         gone = order[later]
         if len(gone):
             where = doc[gone] % self.buckets
             for b in np.unique(where).tolist():
                 own = gone[where == b]
                 used, local = np.unique(doc[own], return_inverse=True)
-                yield b, 1, pack(ids[used], keys[used], local.astype(U32), first[own].astype(U32), further[own].astype(U32))
-        self.__init__(self.buckets)
+                yield b, GONE, pack(ids[used], keys[used], local.astype(U32), first[own].astype(U32), further[own].astype(U32))
+        self.__init__(self.buckets, self.hot)
         pa.default_memory_pool().release_unused()
 
 
-def parser(buckets: int):
+def parser(buckets: int, hot: int = HOT, combined: int = COMBINED):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Combiner(buckets)
+        made = Combiner(buckets, hot)
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
         def send() -> Iterator[pa.RecordBatch]:
@@ -183,10 +206,10 @@ def parser(buckets: int):
                     for s in range(begin, end, SEGMENT):
                         piece = data[s : min(end, s + SEGMENT + MATCH - 1)]
                         made.add(parse(piece, np.zeros(1, np.int64), np.array([len(piece)])), ids[i:j], keys[i:j], np.array([begin - s]))
-                        if made.count >= COMBINED:
+                        if made.count >= combined:
                             yield from send()
                 i = j
-                if made.count >= COMBINED:
+                if made.count >= combined:
                     yield from send()
         yield from send()
 
@@ -207,25 +230,36 @@ def grouped(ids: np.ndarray, keys: np.ndarray, entries: np.ndarray) -> dict[tupl
 
 
 RANGE = np.dtype([("start", "<u4"), ("further", "<u4")])
-OPEN = np.dtype([("start", "<u4"), ("further", "<u4"), ("trigger", "<u8")])
+OPEN = np.dtype([("start", "<u4"), ("further", "<u4"), ("trigger", "<u8"), ("hot", "<u4")])
+
 
+def opened(start: np.ndarray, further: np.ndarray, trigger: np.ndarray, hot: np.ndarray | int) -> np.ndarray:
+    rows = np.empty(len(start), dtype=OPEN)
+    rows["start"], rows["further"], rows["trigger"], rows["hot"] = start, further, trigger, hot
+    return rows
 
-def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def dictionary(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
     """One bucket's phrases: the ranges of starts that are repeated as a whole, and those still open."""
-    got, passed = [], []
+    got, passed, still, told = [], [], [], [np.zeros(0, U64)]
     for kind, blob in zip(pdf["kind"], pdf["blob"]):
-        if kind:
+        if kind == GONE:
             ids, keys, doc, first, further = unpack(blob, *STARTS)
             passed.append((ids[doc], keys[doc], first, further))
+        elif kind == PAST:
+            ids, keys, doc, first, further, trigger = unpack(blob, *OPENED)
+            still.append((ids[doc], keys[doc], opened(first, further, trigger, 1)))
+        elif kind == TOLD:
+            told += unpack(blob, U64)
         else:
             ids, keys, trigger, content, doc, first, further = unpack(blob, *PHRASES)
             got.append((trigger, content, ids[doc], keys[doc], first, further))
-    whole, still = [], {}
     if got:
         trigger, content, ids, keys, first, further = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.argsort(trigger)
         same = trigger[order][1:] == trigger[order][:-1]
-        shared = np.zeros(len(order), dtype=bool)
+        shared = np.isin(trigger[order], np.concatenate(told))
         shared[1:] |= same
         shared[:-1] |= same
         pick = order[shared]
@@ -241,68 +275,113 @@ def dictionary(pdf: pd.DataFrame) -> pd.DataFrame:
             passed.append((ids[gone], keys[gone], first[gone], further[gone]))
             entry = order[head]
             t = trigger[entry]
-            alike = t[1:] == t[:-1]
-            several = np.zeros(len(entry), dtype=bool)
-            several[1:] |= alike
-            several[:-1] |= alike
+            runs = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            sizes = np.diff(np.append(runs, len(t)))
+            often = np.repeat((sizes >= hot) | np.isin(t[runs], np.concatenate(told)), sizes)
+            several = np.repeat(sizes > 1, sizes) | often
             own = entry[several]
-            rows = np.empty(len(own), dtype=OPEN)
-            rows["start"], rows["further"], rows["trigger"] = first[own], further[own], trigger[own]
-            still = grouped(ids[own], keys[own], rows)
-    full = {}
+            still.append((ids[own], keys[own], opened(first[own], further[own], trigger[own], often[several])))
+    full, left = {}, {}
+    if still:
+        left = grouped(*(np.concatenate(x) for x in zip(*still)))
     if passed:
         ids, keys, first, further = (np.concatenate(x) for x in zip(*passed))
         rows = np.empty(len(ids), dtype=RANGE)
         rows["start"], rows["further"] = first, further
         full = grouped(ids, keys, rows)
-    every = sorted({*full, *still})
-    return pd.DataFrame({"doc_id": [d for d, _ in every], "text_key": [k for _, k in every], "whole": [full.get(x) for x in every], "open": [still.get(x) for x in every]}, columns=["doc_id", "text_key", "whole", "open"]).astype({"doc_id": "int64", "text_key": "int64"})
+    every = sorted({*full, *left})
+    return pd.DataFrame({"doc_id": [d for d, _ in every], "text_key": [k for _, k in every], "whole": [full.get(x) for x in every], "open": [left.get(x) for x in every]}, columns=["doc_id", "text_key", "whole", "open"]).astype({"doc_id": "int64", "text_key": "int64"})
+
+
+def spelled(data: bytes, start: int, further: int) -> np.ndarray:
+    """Hashes of the ``MATCH`` bytes at ``start`` and at each of the ``further`` places after it."""
+    up, down = powers(0)
+    values = np.frombuffer(data, np.uint8, further + MATCH, start).astype(U64) + np.uint64(1)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(values * up[: len(values)], dtype=U64)])
+    return mix((total[MATCH:] - total[: further + 1]) * down[: further + 1])
 
 
 def entries_of(buckets: int):
-    """Open dictionary entries with their bytes, a row for some thousands of one bucket."""
+    """Open dictionary entries with their bytes, a row for some thousands of one bucket; of hot triggers the hashes of their suffixes."""
 
-    def send(found: dict[int, list]) -> Iterator[pa.RecordBatch]:
+    def send(found: dict[int, list], hot: list) -> Iterator[pa.RecordBatch]:
         for b, rows in found.items():
             blob = pack(np.array([r[0] for r in rows], I64), np.array([r[1] for r in rows], I64), np.array([r[2] for r in rows], I64), np.array([len(r[3]) for r in rows], I64), np.frombuffer(b"".join(r[3] for r in rows), np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+        if hot:
+            ids, keys = np.array([r[0] for r in hot], I64), np.array([r[1] for r in hot], I64)
+            doc = np.repeat(np.arange(len(hot)), [len(r[3]) for r in hot])
+            start = np.concatenate([np.arange(r[2], r[2] + len(r[3])) for r in hot])
+            spell = np.concatenate([r[3] for r in hot])
+            order = np.argsort(spell)
+            edges = np.searchsorted(bucket_of(spell[order], buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[b] : edges[b + 1]]
+                used, local = np.unique(doc[own], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([1], pa.int32()), pa.array([pack(ids[used], keys[used], local.astype(U32), start[own].astype(U32), spell[own])], pa.binary())], names=["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[int, list] = {}
+            hot: list[tuple[int, int, int, np.ndarray]] = []
             held = 0
             for doc, key, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 data = text.as_buffer().to_pybytes() if blobs else b""
                 for blob in blobs or ():
                     rows = np.frombuffer(blob, dtype=OPEN)
-                    for b, start, further in zip(bucket_of(rows["trigger"].astype(U64), buckets).tolist(), rows["start"].tolist(), rows["further"].tolist()):
-                        found.setdefault(b, []).append((doc, key, start, data[start : start + further + MATCH]))
+                    for b, start, further, is_hot in zip(bucket_of(rows["trigger"].astype(U64), buckets).tolist(), rows["start"].tolist(), rows["further"].tolist(), rows["hot"].tolist()):
+                        if is_hot:
+                            hot.append((doc, key, start, spelled(data, start, further)))
+                        else:
+                            found.setdefault(b, []).append((doc, key, start, data[start : start + further + MATCH]))
                         held += 1
                 if held >= HELD:
-                    yield from send(found)
-                    found, held = {}, 0
-            yield from send(found)
+                    yield from send(found, hot)
+                    found, hot, held = {}, [], 0
+            yield from send(found, hot)
 
     return run
 
 
+def ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The place of each of ``starts`` in the order of the suffixes of ``data`` to ``MATCH`` bytes, equal ones having one place.
+
+    Prefix doubling: the order by 2k bytes is that by the place of the first k and that of the next k.
+    """
+    n = len(data) - 7
+    value = np.zeros(n, dtype=U64)
+    for k in range(8):
+        value = value << np.uint64(8) | data[k : k + n]
+    width, most = 8, 1 << (MATCH.bit_length() - 1)
+    while True:
+        place = np.unique(value, return_inverse=True)[1].astype(np.uint32)
+        if width == most:
+            break
+        value = place[:-width].astype(U64) << np.uint64(32) | place[width:]
+        width *= 2
+    return np.unique(place[starts].astype(U64) << np.uint64(32) | place[starts + (MATCH - width)], return_inverse=True)[1]
+
+
 def suffix_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sort the suffixes of one bucket's entries; the starts whose bytes also start earlier."""
-    ids, keys, start, size, data = (np.concatenate(x) for x in zip(*(unpack(b, I64, I64, I64, I64, np.dtype(np.uint8)) for b in pdf["blob"])))
-    base = np.cumsum(size) - size
-    count = size - MATCH + 1
-    entry = np.repeat(np.arange(len(size)), count)
-    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = base[entry] + inside
-    suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, MATCH)[at]).view(f"V{MATCH}").ravel()
-    order = np.argsort(suffixes, kind="stable")
-    equal = np.concatenate([np.zeros(0, bool), *(suffixes[order[i + 1 : i + 50_001]] == suffixes[order[i : i + 50_000][: len(order) - 1 - i]] for i in range(0, len(order) - 1, 50_000))])
-    run = np.empty(len(order), dtype=np.int64)
-    run[order] = np.concatenate([[0], np.cumsum(~equal)])
-    ids, keys, start = ids[entry], keys[entry], start[entry] + inside
+    """The starts of one bucket whose ``MATCH`` bytes also start earlier: from the suffix array of its entries, and from equal hashes."""
+    kind, found = pdf["kind"].to_numpy(), []
+    if (kind == 0).any():
+        ids, keys, start, size, data = (np.concatenate(x) for x in zip(*(unpack(b, I64, I64, I64, I64, np.dtype(np.uint8)) for b in pdf["blob"][kind == 0])))
+        base, count = np.cumsum(size) - size, size - MATCH + 1
+        entry = np.repeat(np.arange(len(size)), count)
+        inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        found.append((ranks(data, base[entry] + inside), ids[entry], keys[entry], start[entry] + inside))
+    if (kind == 1).any():
+        parts = [unpack(b, *SPELLED) for b in pdf["blob"][kind == 1]]
+        spell = np.unique(np.concatenate([p[4] for p in parts]), return_inverse=True)[1] + (1 << 40)  # apart from the places above
+        found.append((spell, *(np.concatenate(x) for x in zip(*((ids[doc], keys[doc], start.astype(I64)) for ids, keys, doc, start, _ in parts)))))
+    run, ids, keys, start = (np.concatenate(x) for x in zip(*found))
+    _, which, times = np.unique(run, return_inverse=True, return_counts=True)
+    keep = times[which] > 1
+    run, ids, keys, start = run[keep], ids[keep], keys[keep], start[keep]
     order = np.lexsort((start, keys, ids, run))
     r = run[order]
-    head = np.concatenate([[True], r[1:] != r[:-1]])
+    head = np.concatenate([[True], r[1:] != r[:-1]])[: len(r)]
     lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
     gone = order[(ids[order] != ids[lead]) | (keys[order] != keys[lead]) | (start[order] != start[lead])]
     rows = np.zeros(len(gone), dtype=RANGE)
@@ -322,7 +401,7 @@ def cut_out(text: bytes, blobs: list[bytes]) -> tuple[bytes, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, combined: int = COMBINED) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     A null text is empty; texts under ``MATCH`` bytes lose nothing.  Rows with the same doc_id and text are
@@ -336,17 +415,18 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes
     facts = scratch.save(source.select("doc_id", "text_key", F.octet_length("data").cast("long").alias("n_bytes"), F.unhex(F.sha2("data", 256)).alias("sha")))
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    parsed = source.mapInArrow(parser(buckets), "bucket int, kind int, blob binary")
-    found = scratch.save(parsed.groupBy("bucket").applyInPandas(dictionary, FOUND))
+    parsed = source.mapInArrow(parser(buckets, hot, combined), "bucket int, kind int, blob binary")
+    found = scratch.save(parsed.groupBy("bucket").applyInPandas(lambda pdf: dictionary(pdf, hot), FOUND))
     # A whole text that a smaller doc_id has too is settled.
-    first = facts.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    facts = scratch.save(facts.join(first, "sha").withColumn("copy", F.col("doc_id") > F.col("first")).drop("first"))
+    first = scratch.save(facts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    facts = scratch.save(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"))
     copies = facts.where("copy").select("doc_id", "text_key").distinct()
-    ranges = found.join(copies, ["doc_id", "text_key"], "left_anti").groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"))
-    held = scratch.save(source.join(ranges, ["doc_id", "text_key"]))
-    entries = held.where(F.size("open") > 0).select("doc_id", "text_key", "data", "open").mapInArrow(entries_of(FINER * buckets), "bucket int, blob binary")
-    more = entries.groupBy("bucket").applyInPandas(suffix_order, "doc_id long, text_key long, whole binary").groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("more"))
-    rows = held.select("doc_id", "text_key", "data", "whole").join(more, ["doc_id", "text_key"], "left").select("doc_id", "text_key", "data", F.concat("whole", F.coalesce("more", F.array())).alias("blobs"))
+    found = found.join(copies, ["doc_id", "text_key"], "left_anti")
+    still = found.where("open is not null").groupBy("doc_id", "text_key").agg(F.collect_list("open").alias("open"))
+    entries = source.join(still, ["doc_id", "text_key"]).select("doc_id", "text_key", "data", "open").mapInArrow(entries_of(FINER * buckets), "bucket int, kind int, blob binary")
+    more = scratch.save(entries.groupBy("bucket").applyInPandas(suffix_order, "doc_id long, text_key long, whole binary"))
+    ranges = found.where("whole is not null").select("doc_id", "text_key", "whole").unionByName(more).groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("blobs"))
+    rows = source.join(ranges, ["doc_id", "text_key"]).select("doc_id", "text_key", "data", "blobs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
