@@ -235,7 +235,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle:
         scratch.drop(texts)
         return found
 
-    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), radius, crowded)
+    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), crowded)
     known = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
     classes = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     return known.join(classes, "label").select("doc_id", "text_key", "component_id", F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key")).alias("keep"))
