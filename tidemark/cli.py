@@ -1,4 +1,4 @@
-"""Command line: ``python -m tidemark.cli query|cleanup|resync|sync``."""
+"""Command line: ``python -m tidemark.cli query|serve|cleanup|resync|sync``."""
 
 from __future__ import annotations
 
@@ -23,6 +23,8 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query")
     q.add_argument("sql")
+    v = sub.add_parser("serve")
+    v.add_argument("--listen-addr")
     c = sub.add_parser("cleanup")
     c.add_argument("--table", action="append", required=True)
     c.add_argument("--dry-run", action="store_true")
@@ -34,8 +36,12 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--lsn", required=True)
     r.add_argument("--force", action="store_true")
     s = sub.add_parser("sync")
-    s.add_argument("--source-url", required=True, help="folder of change-log Parquet files")
-    s.add_argument("--fields", required=True)
+    s.add_argument("--source-url", required=True, help="folder of message logs, or with --parquet of change-log Parquet files")
+    s.add_argument("--fields", help="columns of the tables, where the stream doesn't tell them")
+    s.add_argument("--parquet", action="store_true")
+    s.add_argument("--slot-name")
+    s.add_argument("--publication")
+    s.add_argument("--merge-on-read", action="store_const", const=True)
     s.add_argument("--checkpoint", required=True)
     s.add_argument("--flush-rows", type=int)
     s.add_argument("--flush-interval", type=float)
@@ -66,6 +72,10 @@ def main(argv: list[str] | None = None) -> int:
         out = engine.sql(args.sql)
         for row in out.toLocalIterator() if out is not None else ():
             print(json.dumps(row.asDict(recursive=True), default=str))
+    elif args.command == "serve":
+        from .server import Server
+
+        Server(engine).start().ending.wait()
     elif args.command == "cleanup":
         found = engine.cleanup(args.table, dry_run=True)
         if not args.dry_run and found and confirmed(", ".join(found), args.force):
@@ -76,10 +86,16 @@ def main(argv: list[str] | None = None) -> int:
         if confirmed(f"and copy {args.table} again", args.force):
             engine.resync(schema, table, args.dump, fields_from(args.fields)[schema, table], reg.parse_lsn(args.lsn))
     else:
-        def start():
-            return engine.sync(spark.readStream.schema(merge.CHANGELOG).parquet(config.source_url), fields_from(args.fields), args.checkpoint, once=args.once)
+        fields = fields_from(args.fields) if args.fields else None
+
+        def source():
+            # Admission: a message log ends batches after flush_rows rows, a Parquet log takes a file at a time.
+            return spark.readStream.schema(merge.CHANGELOG).option("maxFilesPerTrigger", 1).parquet(config.source_url) if args.parquet else engine.stream()
 
-        engine.supervise(start)
+        if args.once:
+            engine.catch_up(source(), fields, args.checkpoint)
+        else:
+            engine.supervise(lambda: engine.sync(source(), fields, args.checkpoint))
     return 0
 
 

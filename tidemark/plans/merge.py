@@ -38,18 +38,27 @@ def keyed(changes: DataFrame, schema: T.StructType, keys: list[str]) -> DataFram
     return out.select(*[F.col(f"row.{k}").alias(k) for k in keys], "lsn", "seq", "sub", "dead", "row", "toast")
 
 
+def last_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key.  The limit of one row per key is applied before the shuffle too, so hot keys are cheap."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order]))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def net_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The last keyed change of each key: one aggregation with map-side combine, so hot keys are cheap."""
-    last = F.max_by(F.struct("dead", "row"), F.struct(*ORDER)).alias("last")
-    return changes.groupBy(*keys).agg(last).select(*keys, "last.dead", "last.row")
+    """The last keyed change of each key."""
+    return last_rows(changes, keys, ORDER).select(*keys, "dead", "row")
 
 
 def dedup_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last row of each key; without keys all rows."""
-    if not keys:
-        return rows
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last"))
-    return last.select("last.*")
+    return last_rows(rows, keys, order) if keys else rows
+
+
+def semi_join(rows: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` whose key is in ``named``."""
+    return rows.alias("l").join(named.select(*keys).distinct().alias("r"), same_key("l", "r", keys), "left_semi")
 
 
 def anti_join(rows: DataFrame, deletes: DataFrame, keys: list[str]) -> DataFrame:

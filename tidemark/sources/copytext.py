@@ -4,47 +4,53 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import types as reg
 
 # Single-letter escapes.
 LETTERS = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v"}
-ESCAPE = re.compile(r"\\(?:x([0-9A-Fa-f]{1,2})|([0-7]{1,3})|(.)|\Z)", re.S)
-
-
-def _one(m: re.Match) -> str:
-    if m[1]:
-        return chr(int(m[1], 16))
-    if m[2]:
-        return chr(int(m[2], 8) & 0xFF)
-    return LETTERS.get(m[3], m[3]) if m[3] else "\\"
+#: A field's pieces: an escape, or text up to the next one.
+PIECE = r"(?s)\\(?:x[0-9A-Fa-f]{1,2}|[0-7]{1,3}|.|\z)|[^\\]+"
 
 
 def unescape(text: str) -> str:
-    """Decode in one pass, so that an escaped backslash never starts another escape; bytes above ASCII form UTF-8."""
-    if "\\" not in text:
-        return text
-    out = ESCAPE.sub(_one, text)
-    if any("\x80" <= c <= "\xff" for c in out):
-        try:
-            return b"".join(c.encode("latin-1") if c <= "\xff" else c.encode() for c in out).decode()
-        except UnicodeDecodeError:
-            return out
-    return out
+    """What ``copy_unescape`` does, for one text: in one pass, so that an escaped backslash never starts another escape."""
+    raw, plain = b"", ""
+    for piece in re.findall(PIECE.replace(r"\z", r"\Z"), text):
+        if re.match(r"\\(x[0-9A-Fa-f]|[0-7])", piece):
+            code = int(piece[2:], 16) if piece[1] == "x" else int(piece[1:], 8) & 0xFF
+            raw, plain = raw + bytes([code]), plain + chr(code)
+        else:
+            shown = LETTERS.get(piece[1:], piece[1:] or "\\") if piece[0] == "\\" else piece
+            raw, plain = raw + shown.encode(), plain + shown
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return plain
+
+
+def _number(token: Column) -> Column:
+    """The code that a hexadecimal or octal escape names, null for any other piece."""
+    hexadecimal = F.conv(F.substring(token, 3, 2), 16, 10).cast("int")
+    octal = F.conv(F.substring(token, 2, 3), 8, 10).cast("int").bitwiseAND(F.lit(255))
+    return F.when(token.rlike(r"^\\x[0-9A-Fa-f]"), hexadecimal).when(token.rlike(r"^\\[0-7]"), octal)
+
+
+def _plain(token: Column) -> Column:
+    """The text of any other piece: itself, a letter's control character, what a backslash stands before, or the backslash at the end."""
+    letter = F.create_map(*[F.lit(x) for pair in LETTERS.items() for x in pair])[F.substring(token, 2, 1)]
+    return F.when(~token.startswith("\\") | (token == "\\"), token).otherwise(F.coalesce(letter, F.substring(token, 2, 1)))
 
 
 def copy_unescape(field: Column) -> Column:
-    """Decoded field, null for ``\\N``.  Fields without a backslash stay in the JVM."""
-
-    @F.pandas_udf(T.StringType())
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unescape(v))
-
-    return F.when(field == "\\N", F.lit(None)).when(field.contains("\\"), decode(field)).otherwise(field)
+    """Decoded field, null for ``\\N``, by SQL functions alone: pieces become bytes, which form UTF-8 (else each code is a character)."""
+    tokens = F.regexp_extract_all(field, F.lit(PIECE), F.lit(0))
+    as_hex = F.transform(tokens, lambda t: F.coalesce(F.lpad(F.hex(_number(t)), 2, "0"), F.hex(_plain(t).cast("binary"))))
+    whole = F.unhex(F.array_join(as_hex, "")).cast("string")
+    each = F.array_join(F.transform(tokens, lambda t: F.coalesce(F.char(_number(t)), _plain(t))), "")
+    return F.when(field == "\\N", F.lit(None)).when(field.contains("\\"), F.when(F.is_valid_utf8(whole), whole).otherwise(each)).otherwise(field)
 
 
 def parse_lines(lines: DataFrame, columns: list[tuple[str, int]], value: str = "value") -> DataFrame:
