@@ -107,12 +107,21 @@ def test_seed_entities():
 
 
 def test_bootstrapping_finds_unseen_identifiers(spark):
+    rng = random.Random(15)
     rows = [(i, f"please write to contact address: user{i}@mail.example.com thanks") for i in range(12)]
-    rows += [(50, "please write to contact address: jane.doe99@localhost thanks"), (51, "version 2024 of it"), (52, None)]
+    rows += [(50, "please write to contact address: jane.doe99@localhost thanks"), (51, "version 2024 of it"), (52, None), (53, "")]
+    # An accepted instance vouches for another pattern, which finds a third one.
+    rows += [(60 + i, f"please write to contact address: box{i}000@intranet and ask for box{i}000@intranet there") for i in range(6)] + [(70, "and ask for root9999@intranet there")]
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows += [(100 + i, f'{prose(rng, 3)} token = "{key()}" {prose(rng, 3)}') for i in range(9)] + [(120, f"{prose(rng, 5)} {key()} {prose(rng, 5)}"), (121, 'so token = "hunter2222" it is')]
+    rows += [(130 + i, f"{prose(rng, 5)} {rng.randrange(10**15, 10**16)} {prose(rng, 5)}") for i in range(20)]
     got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[50]["n_found"] == 1 and got[50]["spans"] == "email:33:53" and got[50]["n_email"] == 0
-    assert got[51]["n_found"] == 0 and got[51]["spans"] == ""
+    assert got[51]["n_found"] == 0 and got[51]["spans"] == "" and got[53]["spans"] == ""
     assert got[3]["n_email"] == 1 and got[52]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert all(got[60 + i]["n_found"] == 2 for i in range(6)) and got[70]["spans"] == "email:12:29"
+    assert all(got[100 + i]["n_found"] == 1 and "secret:" in got[100 + i]["spans"] for i in range(9))
+    assert got[120]["n_found"] == 0 and got[121]["n_found"] == 1 and all(got[130 + i]["n_found"] == 0 for i in range(20))
 
 
 def test_fuzzy_lines(docs):
@@ -146,6 +155,22 @@ def test_shards(docs):
     assert {r["law"] for r in got} == {"bytes"}
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(19)
+    texts = [prose(rng, rng.randrange(5, 120)) for _ in range(150)]
+    rows = [(i if i % 11 else None, rng.choice(texts), rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(900)]
+    got = kdshards.shard(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 8).collect()
+    where = collections.defaultdict(set)
+    for r in got:
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    heaviest = max(c * (len(t) + 1) for t, c in collections.Counter(r[1] for r in rows).items())
+    assert all(len(x) == 1 for x in where.values()) and len(sizes) == 8
+    assert max(sizes.values()) - min(sizes.values()) <= 3 * heaviest
+
+
 def test_shards_are_even(spark):
     rng = random.Random(9)
     rows = [(i, "same" * 100 if i % 3 == 0 else "x" * rng.randrange(200, 900), rng.choice("ab"), "s") for i in range(3000)]
@@ -290,6 +315,30 @@ def test_warc(spark):
         list(warc.read_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
 
 
+def test_broken_records_are_counted_and_the_rest_is_read(spark):
+    good = warc.to_response(1, "http://e.org/", "<p>fine</p>")
+    data = [good + b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n" + good, b"garbage", good.replace(b"WARC-Date", b"X-Date"), b"", None, b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"]
+    rows = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(data)], "page_id long, record binary, block string")
+    got = collections.Counter((r["page_id"], r["record_type"]) for r in warc.derivatives(rows).collect())
+    assert got == {(0, "metadata"): 2, (0, "conversion"): 2, (0, "rejected"): 1, (1, "rejected"): 1, (2, "rejected"): 1, (5, "rejected"): 1}
+
+
+def test_charsets_and_pages_that_are_long_or_odd():
+    import time
+
+    head = lambda kind: f"HTTP/1.1 200 OK\r\nContent-Type: {kind}"
+    assert warc.decoded(head("text/html; charset=ISO-8859-1"), "é".encode("latin-1")) == "é"
+    assert warc.decoded(head("text/html"), '<meta charset="windows-1252">€'.encode("cp1252")).endswith("€")
+    assert warc.decoded(head("text/html; charset=nonsense"), "é".encode()) == "é"
+    assert warc.plain_text("a < b <!-- no --> c<script>x</SCRIPT >d<style>e") == "a < b c d"
+    page = warc.read_page("<html lang='fr'><title>T &amp; U</title><a class=x href=/1>l</a><A HREF='/2'>m<a name=z>")
+    assert (page["title"], page["language"], page["links"]) == ("T & U", "fr", ["/1", "/2"])
+    began = time.time()
+    for odd in ("<title>", "<script", "<a href='", "<!--", "<a ", "< ", "</", "<title></title>", "<a href=\"x"):
+        warc.read_page(odd * 60_000)
+    assert time.time() - began < 20
+
+
 def test_stages_keep_columns(docs):
     for out in (stages.drop_repeated_lines(docs), stages.keep_one_of_each(docs)):
         assert out.columns == docs.columns

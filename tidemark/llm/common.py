@@ -7,6 +7,7 @@ never leave the executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that go to a Python worker at a time; texts are long, and a worker holds a batch several times over.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time; texts are long, and a worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,11 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of what goes to a Python worker at a time; Spark reads them when a query runs, so they stay."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name, None)
+        number = int(now) if now and now.lstrip("-").isdigit() else -1
+        if number <= 0 or number > most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer needed."""
 
@@ -44,8 +56,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, tuple[DataFrame, str]] = {}  # keeps the frames, so no id is used again
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        bound_batches(spark)
 
     def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
         """Write ``df`` and read it again: later stages, and retries after a lost executor, start from the files.

@@ -3,21 +3,24 @@
 Every node splits at the weighted median (bytes) of the metadata dimension in which it is widest, relative
 to the whole table, until leaves reach the target.  Medians are found for all nodes of a level at once: one
 job sums the bytes per node and bin, the driver sees those sums (at most ``MOST_BINS`` rows), narrows each node
-to the bin that holds its median and repeats.  Rows with equal coordinates are ordered by text and then by
-doc_id, so equal texts stay together unless their group outweighs the tolerance; then the cut goes through it.
+to the bin that holds its median and repeats.
+
+The dimensions are metadata of the text (bytes, words, lines, letters beyond ASCII), and rows with equal ones
+are ordered by the hash of the text, so equal texts always lie on one side of a cut, whatever their source.  Only
+a group of equal texts that is heavier than a whole leaf should be is cut, by doc_id: no other cut is near equal.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 MOST_BINS = 65_536
-#: A cut is close enough when what lies in its bin is at most this share of the node's bytes.
+#: A cut is close enough when what lies in its bin is at most this share of a leaf's bytes.
 TOLERANCE = 0.0005
 #: Rows that one task numbers, about.
 CHUNK = 200_000
@@ -27,9 +30,15 @@ LIMIT = 1 << 62
 def metadata(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``doc_id, size, text_crc32, k1 (text), k2 (doc_id)`` and the coordinates ``d0...``; null texts are empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    have = set(docs.columns)
-    dims = [F.octet_length(text).cast("long")]
-    dims += [F.crc32(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("source", "lang") if c in have]
+    n_bytes, n_points = F.octet_length(text).cast("long"), F.length(text).cast("long")
+    spaces, ends = F.length(F.translate(text, " ", "")), F.length(F.translate(text, "\n", ""))
+    # Each per mille of the text's length or its logarithm, so that a few very long texts don't make a dimension wide.
+    dims = [
+        F.floor(F.log2(n_bytes + 1) * 1000).cast("long"),
+        F.floor(1000 * (n_points - spaces) / F.greatest(n_points, F.lit(1))).cast("long"),
+        F.floor(F.log2(n_points - ends + 1) * 1000).cast("long"),
+        F.floor(1000 * (n_bytes - n_points) / F.greatest(n_bytes, F.lit(1))).cast("long"),
+    ]
     names = [f"d{i}" for i in range(len(dims))]
     doc = F.col("doc_id").cast("long")
     out = docs.select(
@@ -64,8 +73,9 @@ class Node:
         else:
             b = max(bins, default=0)
             before -= bins.get(b, 0)
-        weight, inside = bins.get(b, 0), self.want - before
-        if weight <= self.bytes * TOLERANCE or (self.stage == 2 and self.width == 1):
+        weight, inside, share = bins.get(b, 0), self.want - before, self.bytes / self.leaves
+        one_text = self.stage == 1 and self.width == 1 and weight <= share
+        if weight <= share * TOLERANCE or one_text or (self.stage == 2 and self.width == 1):
             self.cut[self.stage] = self.low + self.width * (b + (2 * inside >= weight))
             self.settled = True
         elif self.width > 1:
@@ -139,11 +149,12 @@ def tree(meta: DataFrame, dims: list[str], leaves: int, scratch: Scratch) -> Dat
 
 
 def numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """``slot``: gapless from 0 in each leaf, counted in chunks of bounded size."""
-    chunks = max(1, -(-rows.count() // CHUNK))
-    from pyspark.sql import Window
+    """``slot``: gapless from 0 in each leaf, counted in chunks of bounded size.
 
-    dealt = rows.withColumn("chunk", F.pmod(F.col("k2"), F.lit(chunks)))
+    Rows are dealt into chunks at random, so neither repeated rows nor null ids make one large; the table that is written fixes them.
+    """
+    chunks = max(1, -(-rows.count() // CHUNK))
+    dealt = scratch.save(rows.withColumn("chunk", F.floor(F.rand(7) * chunks).cast("long")))
     sizes = dealt.groupBy("leaf", "chunk").agg(F.count("*").alias("n"))  # leaves x chunks rows
     first = sizes.select("leaf", "chunk", (F.sum("n").over(Window.partitionBy("leaf").orderBy("chunk")) - F.col("n")).alias("first"))
     rank = F.row_number().over(Window.partitionBy("leaf", "chunk").orderBy("k2", "k1", "text_crc32"))
@@ -154,8 +165,9 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     The number of leaves is ``shards``, or what ``target_bytes`` a leaf comes to.  The law is near equal
-    bytes.  Null texts count one byte, null metadata as empty, a null doc_id as any other; repeated rows are
-    all dealt out.  Columns other than doc_id, text, source and lang are not read.  An empty table stays empty.
+    bytes.  Null texts count one byte and equal the empty ones, a null doc_id is as any other; repeated rows are
+    all dealt out.  Equal texts share a shard unless their group is heavier than a shard.  A text is
+    never cut, however long.  Columns other than doc_id and text are not read.  An empty table stays empty.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     meta, dims = metadata(docs)

@@ -1,10 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
-Fixed patterns find the seed entities.  The words around a seed are its lexical patterns; around every
-other identifier-shaped token the same patterns are taken.  Patterns and instances form a bipartite graph,
-which Spark scores in rounds: a pattern is as reliable as its instances are known (smoothed by a constant),
-an instance as likely as one of its reliable patterns is right.  Instances that end above ``ACCEPT`` are
-found identifiers of the pattern's kind; their spans join those of the seeds.
+Fixed patterns find the seed entities; long random-looking words are weak seeds of a fifth kind, ``secret``.  The
+words around a seed are its lexical patterns; around every other identifier-shaped word the same patterns
+are taken.  Patterns and instances form a bipartite graph, which Spark scores in rounds: a pattern is as reliable
+as its instances are known (smoothed by a constant), an instance as likely as one of its reliable patterns is
+right.  What a round makes likely counts in the next, so accepted instances vouch for further patterns; the
+rounds end when none is accepted any more.  Accepted instances are found identifiers of the pattern's kind, weak
+seeds included; their spans join those of the seeds.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, as_texts, per_row
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS, SECRET = ["email", "ip", "card", "phone"], "secret"
 # The seed patterns.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -30,8 +32,13 @@ DIGIT = re.compile(r"[0-9]")
 #: Identifier-shaped: a word with at least four digits or an at sign.
 TOKEN = re.compile(r"(?<!\S)\S*[0-9@]\S*")
 WORD = re.compile(r"\S+")
-EDGES = ".,;:!?\"'()[]{}<>"
-ROUNDS, SMOOTH, RELIABLE, ACCEPT = 3, 2.0, 0.5, 0.75
+EDGES = ".,;:!?\"'()[]{}<>#*$%&|=`"
+#: Random-looking: so many characters, among them as many digits and as many letters.
+RANDOM = re.compile(r"(?=(?:[^0-9]*[0-9]){6})(?=(?:[^A-Za-z]*[A-Za-z]){4})[0-9A-Za-z+/=_-]{20,}")
+#: Characters before and after a span in which the words of its patterns lie; a word that this cuts is left out.
+BEFORE, AFTER = 200, 100
+#: Rounds at most, constant of the smoothing, belief in a weak seed, and from which a pattern is reliable and an instance accepted.
+ROUNDS, SMOOTH, WEAK, RELIABLE, ACCEPT = 12, 2.0, 0.9, 0.6, 0.75
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -75,12 +82,14 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: one and two words before it, and the words on both sides."""
-    before = WORD.findall(text[max(0, start - 80) : start].lower())
-    after = WORD.findall(text[end : end + 40].lower())
-    out = [f"1 {before[-1]}"] if before else []
-    if len(before) > 1:
-        out.append(f"2 {before[-2]} {before[-1]}")
+    """The lexical patterns around a span: one to three words before it, and the words on both sides."""
+    low, high = max(0, start - BEFORE), min(len(text), end + AFTER)
+    before, after = WORD.findall(text[low:start].lower()), WORD.findall(text[end:high].lower())
+    if low and before and not text[low - 1].isspace() and not text[low].isspace():
+        del before[0]
+    if high < len(text) and after and not text[high].isspace() and not text[high - 1].isspace():
+        del after[-1]
+    out = [" ".join([str(n), *before[-n:]]) for n in (1, 2, 3) if len(before) >= n]
     if before and after:
         out.append(f"b {before[-1]} _ {after[0]}")
     return out
@@ -109,7 +118,7 @@ def digest(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-FOUND = "doc_id long, text_key string, seeds array<struct<kind:string,start:int,stop:int,instance:string,patterns:array<string>>>, others array<struct<start:int,stop:int,instance:string,patterns:array<string>>>"
+FOUND = "doc_id long, text_key string, seeds array<struct<kind:string,start:int,stop:int,instance:string,patterns:array<string>>>, others array<struct<start:int,stop:int,instance:string,weak:boolean,patterns:array<string>>>"
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -120,10 +129,11 @@ def extract(docs: DataFrame) -> DataFrame:
         for text in as_texts(batch.column(1)):
             found = seeds(text)
             base.append([{"kind": k, "start": a, "stop": b, "instance": text[a:b].lower(), "patterns": contexts(text, a, b)} for k, a, b in found])
-            rest.append([{"start": a, "stop": b, "instance": text[a:b].lower(), "patterns": contexts(text, a, b)} for a, b in candidates(text, found)])
+            rest.append([{"start": a, "stop": b, "instance": text[a:b].lower(), "weak": bool(RANDOM.fullmatch(text, a, b)), "patterns": contexts(text, a, b)} for a, b in candidates(text, found)])
             keys.append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if rest[-1] else "")
-        span = [("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))]
-        kinds = [pa.list_(pa.struct([("kind", pa.string()), *span])), pa.list_(pa.struct(span))]
+        span = [("start", pa.int32()), ("stop", pa.int32()), ("instance", pa.string())]
+        patterns = ("patterns", pa.list_(pa.string()))
+        kinds = [pa.list_(pa.struct([("kind", pa.string()), *span, patterns])), pa.list_(pa.struct([*span, ("weak", pa.bool_()), patterns]))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array(base, kinds[0]), pa.array(rest, kinds[1])], names=["doc_id", "text_key", "seeds", "others"])
 
     return per_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), one, FOUND)
@@ -133,24 +143,31 @@ def bootstrap(found: DataFrame, scratch: Scratch, rounds: int = ROUNDS, smooth:
     """``(instance, kind, score)`` of the accepted unseen identifiers.
 
     ``edges`` holds each pair of pattern and instance once, so a phrase that a third of the rows repeat
-    weighs like any other.  Each round writes one small table; the driver sees none of it.
+    weighs like any other.  Each round writes one table of beliefs; the driver sees a count of it.
     """
-    seed = found.select(F.explode("seeds").alias("s")).select("s.kind", "s.instance", F.explode("s.patterns").alias("pattern"))
-    other = found.select(F.explode("others").alias("s")).select(F.lit(None).cast("string").alias("kind"), "s.instance", F.explode("s.patterns").alias("pattern"))
-    edges = scratch.save(seed.unionByName(other).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    unseen = edges.where("kind is null").select("pattern", "instance")
-    induced = edges.where("kind is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("known"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    patterns = scratch.save(induced.join(size, "pattern"))  # of the seeds only
-    open_edges = scratch.save(unseen.join(patterns.select("pattern").distinct(), "pattern"))
-    reliability = patterns.withColumn("conf", F.col("known") / (F.col("n") + smooth))
+    seed = found.select(F.explode("seeds").alias("s")).select("s.kind", F.lit(False).alias("weak"), "s.instance", F.explode_outer("s.patterns").alias("pattern"))
+    other = found.select(F.explode("others").alias("s")).select(F.lit(None).cast("string").alias("kind"), "s.weak", "s.instance", F.explode_outer("s.patterns").alias("pattern"))
+    edges = scratch.save(seed.unionByName(other).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("weak").alias("weak")))
+    start = edges.groupBy("instance").agg(F.max("kind").alias("kind"), F.max("weak").alias("weak"))
+    start = scratch.save(start.select("instance", "kind", "weak"))
+    known = start.where("kind is not null").select("instance", "kind", F.lit(1.0).alias("belief"))
+    weak = start.where("kind is null and weak").select("instance", F.lit(SECRET).alias("kind"), F.lit(WEAK).alias("belief"))
+    # A pattern of one instance is never reliable.
+    size = edges.where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("n")).where("n > 1")
+    graph = scratch.save(edges.select("pattern", "instance").join(size, "pattern"))
+    open_ = scratch.save(graph.join(start.where("kind is null").select("instance"), "instance"))
+    belief, before, scores = known.unionByName(weak), -1, None
     for _ in range(rounds):
-        likely = open_edges.join(reliability.where(F.col("conf") >= reliable), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999999)))))).alias("score"))
+        conf = graph.join(belief, "instance").groupBy("pattern", "kind", "n").agg(F.sum("belief").alias("sure")).select("pattern", "kind", (F.col("sure") / (F.col("n") + smooth)).alias("conf")).where(F.col("conf") >= reliable)
+        likely = open_.join(conf, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("conf", F.lit(0.999999)))))).alias("belief"))
         scores = scratch.save(likely)
-        gained = open_edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("gained"))
-        reliability = scratch.save(patterns.join(gained, ["pattern", "kind"], "left").withColumn("conf", (F.col("known") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + smooth)).drop("gained"))
-    best = scores.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
-    return best.select("instance", "b.kind", "b.score").where(F.col("score") >= accept)
+        accepted = scores.where(F.col("belief") >= accept).count()
+        if accepted == before:
+            break
+        before = accepted
+        belief = known.unionByName(weak.unionByName(scores).groupBy("instance", "kind").agg(F.max("belief").alias("belief")))
+    best = scores.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("b"))  # of equal scores the kind that comes last by name
+    return best.select("instance", "b.kind", F.col("b.belief").alias("score")).where(F.col("score") >= accept)
 
 
 def _is(kind: str):
@@ -160,8 +177,10 @@ def _is(kind: str):
 def find(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
     """Per row: counts and digest of the seed spans, ``n_found`` further ones, and ``spans`` with all of them.
 
-    A null text is empty.  Repeated rows are treated alike; a document id shared by different texts is no
-    problem.  Further columns are not read.  An empty table gives an empty table.
+    A null text is empty, and an empty one holds nothing.  Whole texts are read, whatever their length.  Repeated
+    rows are treated alike; a document id shared by different texts is no problem.  An instance that is as
+    likely of two kinds gets the one that comes last by name.  Further columns are not read.  An empty table
+    gives an empty table.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     found = scratch.save(extract(docs))
@@ -175,7 +194,7 @@ def find(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFram
     plain, rich = base.where("text_key = ''").withColumn("more", F.lit(None).cast("array<struct<kind:string,start:int,stop:int>>")), base.where("text_key <> ''")
     both = rich.alias("r").join(more.alias("m"), F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.text_key") == F.col("m.text_key")), "left").select("r.doc_id", "r.text_key", "r.base", "m.more")
     rows = plain.unionByName(both)
-    rank = {k: i for i, k in enumerate(KINDS)}
+    rank = {k: i for i, k in enumerate([*KINDS, SECRET])}
     place = F.create_map(*[x for k, i in rank.items() for x in (F.lit(k), F.lit(i))])
     every = F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.array())), lambda s: F.struct(place[s["kind"]].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
