@@ -89,6 +89,21 @@ def test_crowded_slots_lose_no_link(spark, monkeypatch):
     assert {v: got.get(v, v) for v in values} == label
 
 
+@pytest.mark.parametrize("local", [7, 1000])
+def test_components_of_chains_stars_and_noise(spark, local):
+    from tidemark.llm.common import Scratch, connected_components
+
+    rng = random.Random(44)
+    edges = [(i, i + 1) for i in range(100, 140)] + [(500, 501 + i) for i in range(30)] + [(rng.randrange(1000, 1060), rng.randrange(1000, 1060)) for _ in range(40)] + [(5, 5), (-3, 8), (8, -3)]
+    got = {r["node"]: r["label"] for r in connected_components(Scratch(spark), spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
+    label = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
 def brute_pii(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

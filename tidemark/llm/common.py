@@ -114,15 +114,50 @@ def as_texts(array: pa.Array) -> list[str]:
     return [x or "" for x in array.to_pylist()]
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task joins.
+LOCAL_EDGES = 1_000_000
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and for each the smallest node it reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)  # roots take the smaller root
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[label]
+
+
+def connected_components(scratch: Scratch, edges: DataFrame, most_rounds: int = 60, local: int = LOCAL_EDGES) -> DataFrame:
     """Label each node of ``edges (a long, b long)`` with the smallest node it reaches: ``(node, label)``.
 
-    Alternates the large-star and small-star steps, whose edge count never grows and which need about
-    log(n) rounds whatever the shape of the graph.  Each round is one table in the shared folder; the
-    driver sees a count and a checksum only.  Nodes without an edge do not appear.
+    Edges are dealt to tasks, each of which joins at most about ``local`` and passes on a star for each of
+    its components.  Where one task is enough, that is the result.  Beyond, rounds of the large-star and small-star
+    steps follow, whose edge count never grows and which need about log(n) rounds whatever the shape of the graph.
+    Each round is one table in the shared folder; the driver sees a count and a checksum only.  Nodes without
+    an edge do not appear.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            a, b = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (0, 1))
+            nodes, labels = joined(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(labels)], names=["a", "b"])
+
+    tasks = max(1, -(-now.count() // local))
+    contracted = scratch.save(now.repartition(tasks).mapInArrow(stars, "a long, b long"))
+    scratch.drop(now)
+    if tasks == 1:
+        return contracted.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    now, mark = contracted.where("a <> b"), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

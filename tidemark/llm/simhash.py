@@ -164,6 +164,11 @@ def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.nda
     return (np.bitwise_count(fp_a ^ fp_b) <= radius).astype(np.int8)
 
 
+def _strict(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For texts that meet on crowded keys only.  At similarity 0.8 two of eight keys or fewer are shared in 0.1 % of cases."""
+    return shared >= 3
+
+
 SKETCHED = "kind int, bucket int, blob binary, doc_id long, text_key long, id long"
 
 
@@ -235,7 +240,7 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle:
         scratch.drop(texts)
         return found
 
-    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), crowded)
+    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), _strict, crowded)
     known = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
     classes = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     return known.join(classes, "label").select("doc_id", "text_key", "component_id", F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key")).alias("keep"))
