@@ -442,3 +442,168 @@ def test_stage_drops_documents_of_similarity_four_fifths(spark):
         want |= {2 * i} | ({2 * i + 1} if len(a & b) / len(a | b) < 0.8 else set())
     got = stages.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == want and 40 < len(want) < 60
+
+
+def brute_windows(docs, items, similar=0.8, n=5):
+    """All windows of all documents, by the multiplicities of shingles."""
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if len(words) >= n else [tuple(words)] * bool(words)
+
+    out = set()
+    for doc, text in docs:
+        s = shingles(text)
+        for item, passage in items:
+            x = shingles(passage)
+            w = min(len(x), len(s))
+            want = collections.Counter(x)
+            for at in range(len(s) - w + 1) if w else ():
+                got = collections.Counter(s[at : at + w])
+                if sum((got & want).values()) / sum((got | want).values()) >= similar - 1e-9:
+                    out.add((doc, item, at))
+    return out
+
+
+def test_all_windows_against_brute_force(spark):
+    rng = random.Random(51)
+    items = [(i, prose(rng, n)) for i, n in enumerate((3, 8, 12, 30, 60, 90))] + [(6, "again " * 40 + prose(rng, 10))]
+    docs = []
+    for k in range(40):
+        _, text = rng.choice(items)
+        words = text.split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = "other"
+        docs.append((k, " ".join([prose(rng, rng.randrange(1, 30)) if rng.random() < 0.7 else "", *words, prose(rng, rng.randrange(1, 30)) if rng.random() < 0.5 else ""])))
+    docs += [(100, items[3][1] + " " + items[3][1]), (101, None), (None, items[4][1]), (102, "")]
+    want = brute_windows(docs, items)
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"], r["start_word"]) for r in got}
+    assert found <= want and len(want) > 40 and len(found) >= 0.99 * len(want)
+
+
+def test_an_item_of_one_word_many_times(spark):
+    text = "word " * 40_000
+    docs = spark.createDataFrame([(1, text), (2, "word " * 50)], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(7, text)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in got] == [(1, 7, 1.0)]
+
+
+def test_line_groups_against_brute_force(spark):
+    """Every pair of similar lines must end in one group, and no group may hold lines that no chain of similar ones joins."""
+    rng = random.Random(61)
+    rows = []
+    for _ in range(45):
+        words = prose(rng, rng.choice([2, 3, 5, 9, 14, 30, 60])).split()
+        rows.append(" ".join(words))
+        for _ in range(rng.choice([0, 1, 2])):
+            copy = list(words)
+            k = rng.randrange(len(copy))
+            copy[k] = rng.choice([prose(rng, 1), copy[k][:-1] + "q", copy[k] + "x"])
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if _distance(rows[i], rows[j]) <= 0.2 * max(len(rows[i]), len(rows[j])) + 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = {i: int(label.index(label[i]) != i) for i in range(len(rows))}
+    wrong = [i for i in want if got[i] > want[i]]
+    assert not wrong and sum(got.values()) >= 0.95 * sum(want.values()) and sum(want.values()) > 25
+
+
+def test_line_recall_by_length_and_change():
+    """The share of changed lines that are candidates of their original, by the keys and fingerprints alone."""
+    rng = random.Random(71)
+    for n in (3, 6, 12, 25, 50, 90):
+        for change in ("letter", "word"):
+            pairs = []
+            for _ in range(150):
+                words = prose(rng, n).split()
+                copy, k = list(words), rng.randrange(n)
+                copy[k] = prose(rng, 1) if change == "word" else copy[k][:-1] + "z"
+                x, y = " ".join(words), " ".join(copy)
+                if _distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9:
+                    pairs.append((x, y))
+            size, fp, owner, keys = lines.sketches([t for p in pairs for t in p])
+            own = [set(keys[owner == i].tolist()) for i in range(2 * len(pairs))]
+            need = lines.near(size[::2], size[1::2], fp[::2], fp[1::2])
+            met = [need[i] and len(own[2 * i] & own[2 * i + 1]) >= need[i] for i in range(len(pairs))]
+            assert len(pairs) < 20 or np.mean(met) >= 0.9, (n, change, np.mean(met))
+
+
+def brute_bins(lengths, length):
+    """Each piece where the sum of squares over gaps becomes least, by trying all gaps."""
+    gaps, out = collections.Counter(), []
+    for size in lengths:
+        fits = [g for g in gaps if gaps[g] and g >= size]
+        if not fits:
+            gaps[length - size] += length > size
+            out.append(None)
+            continue
+
+        def after(g):
+            trial = gaps.copy()
+            trial[g] -= 1
+            trial[g - size] += g > size
+            return sum(v * v for v in trial.values())
+
+        best = min(after(g) for g in fits)
+        out.append(best)
+        g = min(x for x in fits if after(x) == best)
+        gaps[g] -= 1
+        gaps[g - size] += g > size
+    return out
+
+
+def test_choice_of_the_sequence():
+    rng = random.Random(81)
+    lengths = sorted((rng.randrange(1, 65) for _ in range(300)), reverse=True)
+    of, at = packing.sum_of_squares(np.array(lengths), 64)
+    used, open_, want = collections.Counter(), set(), brute_bins(lengths, 64)
+    for k, (size, s, offset) in enumerate(zip(lengths, of.tolist(), at.tolist())):
+        assert offset == used[s] and (want[k] is None) == (s not in open_)
+        used[s] += size
+        open_.add(s)
+        squares = sum(v * v for g, v in collections.Counter(64 - u for u in used.values()).items() if g)
+        assert want[k] is None or squares == want[k]
+    assert max(used.values()) <= 64
+
+
+def test_every_text_of_a_table_is_encoded_as_by_the_tokenizer():
+    import pyarrow.parquet as pq
+
+    encode = packing.encoder(packing.default_tokenizer())
+    for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist():
+        assert encode(t or "") == np.array(encode.file.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_estimated_accuracies_separate_two_kinds():
+    """Votes drawn from known accuracies: the posterior agrees with Bayes' rule under the true ones."""
+    rng = np.random.default_rng(3)
+    good = rng.random(4000) < 0.7
+    accuracy = np.array([0.9, 0.8, 0.85, 0.7, 0.75])
+    votes = np.where(rng.random((4000, 5)) < accuracy, 1, -1) * np.where(good, 1, -1)[:, None] * (rng.random((4000, 5)) < 0.8)
+    patterns, which, weights = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    got = rules.em(patterns, weights.astype(float))
+    odds = np.log(0.7 / 0.3) + (patterns * np.log(accuracy / (1 - accuracy))).sum(1)
+    assert np.average((got > 0.5) == (odds > 0), weights=weights) > 0.97 and np.mean((got[which.ravel()] > 0.5) == good) > 0.9
+
+
+def test_nulls_ties_and_repeated_rows_of_the_stages(spark, empty):
+    rng = random.Random(91)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(None, a), (None, b), (1, a), (2, a), (2, a), (3, b + " x"), (4, None), (5, ""), (6, prose(rng, 20_000))]
+    docs = spark.createDataFrame([(i, t, "c0", 1) for i, t in rows], "doc_id long, text string, c0 string, n_chars long")
+    kept = collections.Counter((r["doc_id"], (r["text"] or "")[:9]) for r in stages.keep_one_of_each(docs).collect())
+    assert kept == {(1, a[:9]): 1, (3, b[:9]): 1, (4, ""): 1, (6, rows[-1][1][:9]): 1}
+    cut = stages.drop_repeated_lines(docs).collect()
+    assert len(cut) == len(rows) and {r["doc_id"]: r["text"] for r in cut}[4] is None and {r["doc_id"]: r["n_chars"] for r in cut}[1] == 0
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    assert {r["doc_id"] for r in stages.drop_contaminated(docs, bench).collect()} == {3, 4, 5, 6}
+    labels = spark.createDataFrame([], LABELS)
+    assert stages.keep_good(docs, labels).count() == len(rows)
+    for out in (stages.keep_one_of_each(empty), stages.drop_repeated_lines(empty), stages.drop_contaminated(empty, bench), stages.keep_good(empty, labels)):
+        assert out.count() == 0 and out.columns == empty.columns

@@ -3,7 +3,7 @@
 An item of m shingles (five words each, lower case, white space as separator) is compared with every window
 of m shingles of every document.  Windows are found where the document holds shingles of the item: a window
 as similar as asked must hold at least ``2t / (1 + t) * m`` of the item's, so some hit lies within its
-first ``m - that`` places, and no other window is built.  A document shorter than the item is one window as
+first ``m - that`` places, and no other window is built; a window meets only the items that opened it.  A document shorter than the item is one window as
 a whole; with w shingles it must hold ``t / (1 + t) * (m + w)`` of the item's.  Window and item fingerprints (64 bits, every
 shingle weighing as often as it occurs) meet by multi-index Hamming blocks: with ``radius + 1`` blocks two
 fingerprints within ``radius`` agree on one at least, so none is lost.  Candidates are verified by the exact
@@ -23,7 +23,7 @@ from .common import Scratch
 SHINGLE, SIMILAR, RADIUS = 5, 0.8, 20
 #: Most rows of a benchmark table, or of places in documents, that are broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 500_000
-LANE = 0x0001000100010001
+LANES = 0x0000000100000001
 
 
 def words(text: Column) -> Column:
@@ -42,27 +42,21 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 
 
 def lane_sums(h: Column) -> list[Column]:
-    """Sixteen sums; each holds the counts of four bits in lanes of 16 bits."""
+    """Thirty-two sums; each holds the counts of two bits in lanes of 32 bits, so windows of any size fit."""
     out = []
-    for k in range(16):
-        nibble = F.shiftrightunsigned(h, 4 * k).bitwiseAND(F.lit(15))
-        spread = nibble.bitwiseOR(F.shiftleft(nibble, 15)).bitwiseOR(F.shiftleft(nibble, 30)).bitwiseOR(F.shiftleft(nibble, 45)).bitwiseAND(F.lit(LANE))
-        out.append(F.sum(spread).alias(f"c{k}"))
+    for k in range(32):
+        pair = F.shiftrightunsigned(h, 2 * k).bitwiseAND(F.lit(3))
+        out.append(F.sum(pair.bitwiseOR(F.shiftleft(pair, 31)).bitwiseAND(F.lit(LANES))).alias(f"c{k}"))
     return out
 
 
 def fingerprint(m: Column) -> Column:
-    """The bits that more than half of ``m`` shingles set, from the sums ``c0`` to ``c15``."""
-    parts = []
-    for k in range(16):
-        nibble = F.lit(0).cast("long")
-        for j in range(4):
-            on = F.shiftrightunsigned(F.col(f"c{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > m
-            nibble = nibble.bitwiseOR(F.when(on, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
-        parts.append(F.shiftleft(nibble, 4 * k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.bitwiseOR(p)
+    """The bits that more than half of ``m`` shingles set, from the sums ``c0`` to ``c31``."""
+    out = F.lit(0).cast("long")
+    for k in range(32):
+        for j in range(2):
+            on = F.shiftrightunsigned(F.col(f"c{k}"), 32 * j).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > m
+            out = out.bitwiseOR(F.when(on, F.shiftleft(F.lit(1).cast("long"), 2 * k + j)).otherwise(F.lit(0).cast("long")))
     return out
 
 
@@ -86,7 +80,7 @@ def shared(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, item_id, start_word, n_shingles, distance, similarity`` of each matching window.
 
-    Null and empty texts hold no window; items of under ``shingle`` words are one shingle and match only a
+    Whole texts and items of any length are compared.  Null and empty texts hold no window; items of under ``shingle`` words are one shingle and match only a
     document that is as short.  ``n_shingles`` is the size of the window, less than the item's where the document is shorter.  Repeated rows of either table count once; ids may be shared by different
     texts; null ids are kept.  Further columns are not read.  An empty table gives an empty table.
     """
@@ -111,21 +105,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     enough = placed.groupBy("doc_id", "text_key", "n", "item", "m").agg(F.collect_set("pos").alias("at")).where(F.size("at") >= need)
     reach = F.col("w") - F.col("need")
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - reach), F.least(F.col("pos"), F.col("n") - F.col("w")))
-    windows = enough.select("doc_id", "text_key", "n", span.alias("w"), need.alias("need"), F.explode("at").alias("pos")).where(F.col("pos") - reach <= F.col("n") - F.col("w")).select("doc_id", "text_key", "w", "n", F.explode(starts).alias("start")).distinct()
-    windows = scratch.save(windows)
-    holders = scratch.save(windows.select("doc_id", "text_key").distinct())
-    holders = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders
+    opened = enough.select("doc_id", "text_key", "n", "item", "m", span.alias("w"), need.alias("need"), F.explode("at").alias("pos")).where(F.col("pos") - reach <= F.col("n") - F.col("w"))
+    # A window keeps the items whose shingles opened it, and meets only these.
+    named = opened.select("doc_id", "text_key", "w", "item", "m", F.explode(starts).alias("start")).distinct()
+    named = scratch.save(named.withColumn("window_id", F.xxhash64("doc_id", "text_key", "w", "start")))
+    windows = named.select("window_id", "doc_id", "text_key", "w", "start").distinct()
+    holders = scratch.save(named.select("doc_id", "text_key").distinct())
+    holders = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders  # two numbers a row
     again = keyed.alias("d").join(holders.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("d.text_key").eqNullSafe(F.col("h.text_key")), "left_semi")
     texts = scratch.save(again.select("doc_id", "text_key", shingles(F.col("text"), shingle).alias("s")).dropDuplicates(["doc_id", "text_key"]))
-    cut = windows.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_key") == F.col("t.text_key"))).select("w.doc_id", "w.text_key", "w.w", "w.n", "w.start", F.slice("t.s", F.col("w.start") + 1, F.col("w.w")).alias("window"))
-    summed = cut.select("doc_id", "text_key", "w", "n", "start", F.explode("window").alias("h")).groupBy("doc_id", "text_key", "w", "n", "start").agg(*lane_sums(F.col("h")))
-    marked = scratch.save(summed.select("doc_id", "text_key", "w", "n", "start", fingerprint(F.col("w")).alias("fp")))
-    left = marked.select("*", F.explode(block_array(F.col("fp"), radius)).alias("block"))
-    right = item_fp.select("item", "m", "item_fp", F.explode(block_array(F.col("item_fp"), radius)).alias("block"))
+    cut = windows.alias("w").join(texts.alias("t"), F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.text_key") == F.col("t.text_key"))).select("w.window_id", "w.w", F.slice("t.s", F.col("w.start") + 1, F.col("w.w")).alias("window"))
+    summed = cut.select("window_id", "w", F.explode("window").alias("h")).groupBy("window_id", "w").agg(*lane_sums(F.col("h")))
+    marked = scratch.save(summed.select("window_id", fingerprint(F.col("w")).alias("fp")))
+    left = named.join(marked, "window_id").select("*", F.explode(block_array(F.col("fp"), radius)).alias("block"))
+    right = item_fp.select("item", "item_fp", F.explode(block_array(F.col("item_fp"), radius)).alias("block"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    longer = marked.where("w = n").select("*", F.explode(F.sequence(F.col("w") + 1, F.greatest(F.col("w") + 1, F.floor(F.col("w") / F.lit(similar) + F.lit(1e-9)).cast("int")))).alias("m"))  # whole documents meet the longer items too
-    sized = left.withColumn("m", F.col("w")).unionByName(longer.select("*", F.explode(block_array(F.col("fp"), radius)).alias("block")))
-    candidates = sized.join(few(right), ["m", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "w", "m", "start", "item", "distance").distinct()
+    candidates = left.join(few(right), ["item", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "w", "m", "start", "item", "distance").distinct()
     candidates = scratch.save(candidates)
     full = candidates.alias("c").join(texts.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))).join(few(items).alias("i"), F.col("c.item") == F.col("i.item"))
     both = full.select("c.doc_id", "i.item_id", "c.start", "c.w", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.w")).alias("window"), "i.shingles")
@@ -134,12 +129,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``doc_id, item_id, n_windows, distance, similarity`` of the best window of each document and item."""
+    """``doc_id, item_id, n_windows, distance, similarity`` of the best window of each document and item.
+
+    Of equally similar windows all are counted.  Documents of one doc_id, and items of one item_id, are told as one;
+    null ids are ids of their own.  An empty table gives an empty table.
+    """
     best = matches(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), F.max(F.struct("similarity", -F.col("distance"))).alias("b"), F.min("distance").alias("distance"))
     return best.select("doc_id", "item_id", "n_windows", "distance", F.round("b.similarity", 9).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without a matching window, with all their columns."""
+    """The rows of ``docs`` without a matching window, with all their columns, whatever their names.
+
+    All rows of a doc_id that matches go, null ids being one.  Null and empty texts stay, and repeated rows stay repeated.
+    An empty table stays empty.
+    """
     found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_found"]), "left_anti")

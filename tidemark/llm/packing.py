@@ -101,17 +101,20 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
+    """The pieces of each row; ``salt`` depends on the content and on the place in its batch, so repeated rows differ in it."""
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         encode = encoder(tokenizer or default_tokenizer())
         rows: list[tuple] = []
         for doc, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1))):
             ids = memoryview(encode(text) + END_OF_TEXT.to_bytes(4, "little"))
             for k, (at, n) in enumerate(cut(len(ids) // 4, length)):
-                rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])], names=names)
+                crc = zlib.crc32(ids[4 * at : 4 * (at + n)])
+                rows.append((doc, k, at, n, crc, zlib.crc32(b"%d %d" % (len(rows), k), crc)))
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), *[pa.int64()] * 4])], names=names)
 
-    return per_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), one, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return per_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), one, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def sum_of_squares(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +161,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, gr
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         of, at = sum_of_squares(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=(pdf["bin"].to_numpy(dtype=np.int64) << 32) + of, offset=at).drop(columns="bin")
+        return pdf.assign(sequence_id=(pdf["bin"].to_numpy(dtype=np.int64) << 32) + of, offset=at).drop(columns=["bin", "salt"])
 
-    dealt = cut_up.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = cut_up.withColumn("bin", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(groups)))
     return dealt.groupBy("bin").applyInPandas(one, PACKED)
