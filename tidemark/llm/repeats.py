@@ -35,16 +35,17 @@ from pyspark.sql import functions as F
 from .common import Scratch, pack, unpack
 
 MATCH, GRAM = 100, 40
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 #: Bytes that are parsed at a time, and phrases that a task combines at a time.
 SEGMENT, COMBINED = 1 << 19, 200_000
 #: Suffixes are dealt into this many times as many buckets as phrases; entries that a task holds before it sends them.
-FINER, HELD = 3, 20_000
+FINER, HELD = 2, 20_000
 #: Different entries of one trigger, in a task or a bucket, from which their suffixes are dealt out by their own hashes.
 HOT = 500
 LOW = np.uint64((1 << 24) - 1)
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 NO_ID = -(1 << 63)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 U64, U32, I64 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("<i8")
 
 
@@ -98,7 +99,8 @@ def parse(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     total = np.concatenate([np.zeros(1, U64), np.cumsum(values * up[:n], dtype=U64)])
     content = (total[last + MATCH] - total[first]) * down[first]
     content = mix(content ^ mix(((t - first) << 8 | (last - first)).astype(U64)))
-    return np.searchsorted(starts, first, "right") - 1, first, last - first, h[t], content
+    # The hashes of triggers are least ones, so small: mixed again they spread evenly over buckets.
+    return np.searchsorted(starts, first, "right") - 1, first, last - first, mix(h[t] + ODD), content
 
 
 PHRASES = (I64, I64, U64, U64, U32, U32, U32)  # documents: id, key; phrases: trigger, content, document, start, further
