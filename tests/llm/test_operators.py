@@ -362,11 +362,49 @@ def test_stages_keep_columns(docs):
     assert kept.count(0) == 1 and 30 not in kept and kept.count(4) == 1
 
 
-def test_pipeline(spark):
+def test_pipeline_stage_by_stage(spark):
+    """Each stage against brute force on what its predecessor kept."""
     import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert set(out.columns) >= {"doc_id", "piece", "sequence_id", "offset"} and out.count() > 100
+    from tidemark.llm.common import Scratch, table
+
+    d = "/root/testdata/sf0.001"
+    docs, scratch, kept = table(spark, d, "documents"), Scratch(spark), {}
+    bench = [(r["item_id"], r["text"]) for r in table(spark, d, "benchmark").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, scratch.save(stage(spark, docs, d))
+        was, now = before.collect(), docs.collect()
+        if name != "best_fit_packing":
+            assert docs.columns == before.columns and {r["doc_id"] for r in now} <= {r["doc_id"] for r in was}
+            kept = {r["doc_id"]: r["text"] or "" for r in now}
+        if name == "quality":
+            good = {r["doc_id"] for r in quality.score(before, table(spark, d, "labels")).where("predicted = 1").collect()}
+            assert set(kept) == good and len(now) < len(was)
+        if name == "line_dedup":
+            assert len(now) == len(was)
+            norms = collections.Counter(n for t in kept.values() for _, n in lines.eligible(t))
+            assert set(norms.values()) <= {1} and all(set(kept[r["doc_id"]].split("\n")) <= set((r["text"] or "").split("\n")) | {""} for r in was)
+        if name in ("near_dedup", "decontamination"):
+            grams = lambda t: set(zip(*(t.lower().split()[k:] for k in range(5)))) or {tuple(t.lower().split())}
+            sets = {r["doc_id"]: grams(r["text"] or "") for r in was}
+        if name == "near_dedup":
+            label = {i: i for i in sets}
+            for i in sorted(sets):
+                for j in sorted(sets):
+                    if j < i and label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                        low, high = sorted((label[i], label[j]))
+                        label = {k: low if v == high else v for k, v in label.items()}
+            assert set(kept) == {i for i, v in label.items() if i == v}
+        if name == "decontamination":
+            near = [(i, x) for i, x in bench for g in [grams(x)] if any(len(g & s) >= 0.3 * len(g) for s in sets.values())]
+            hit = {i for i, _, _ in brute_windows([(r["doc_id"], r["text"]) for r in was if any(len(grams(x) & sets[r["doc_id"]]) >= 0.3 * len(grams(x)) for _, x in near)], near)}
+            assert set(kept) == set(sets) - hit and hit
+        if name == "best_fit_packing":
+            encode = packing.encoder(packing.default_tokenizer())
+            total = {i: len(encode(t)) // 4 + 1 for i, t in kept.items()}
+            packed = collections.Counter()
+            for r in now:
+                packed[r["doc_id"]] += r["length"]
+            assert packed == total and len({r["sequence_id"] for r in now}) <= sum(total.values()) / 2048 * 1.02 + 1
 
 
 def _distance(x, y):
