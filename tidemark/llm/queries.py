@@ -1,7 +1,8 @@
 """The registered queries of the training-data operators, with production parameters on whole tables.
 
 None of them has an oracle in SQL: the fingerprints, components, tokens, packings and models aren't
-expressible there, or too slow on whole tables.  ``tests/llm`` holds each against brute force instead.
+expressible there, or too slow on whole tables.  ``tests/llm`` holds them against brute force, planted
+truth or invariants instead, as the README says.
 """
 
 from __future__ import annotations

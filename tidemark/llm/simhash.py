@@ -8,8 +8,8 @@ a segment exactly one side has that bit clear, so only clear bits are flipped: h
 
 A table slot that holds many fingerprints (one group of near copies) is not joined with itself.  Its
 entries are indexed again by the other segment: eight blocks of four bits, of which two fingerprints
-within three bits share at least five.  A sub-slot leaves twelve bits free, so it holds at most 4096
-fingerprints whatever the input; it is linked by one task that returns a spanning forest, never all pairs.
+within three bits share at least five.  A sub-slot leaves twelve bits free and is fed by 33
+neighbouring slots, so it holds at most 135,168 fingerprints whatever the input; it is linked by one task that returns a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
