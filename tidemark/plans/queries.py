@@ -62,7 +62,7 @@ SQL: dict[str, str] = {
 #: Other SQL for Spark where the plain form is quadratic in a key's rows or sorts more than it must.
 FASTER: dict[str, str] = {
     # Of each time the later ones of the same user and type are counted, not listed.
-    "q_self_join_ineq": "select user_id, event_type, sum(n * later) as repeats, min(ts) as first_visit, max(ts) as last_visit from (select user_id, event_type, ts, count(*) as n, coalesce(sum(count(*)) over (partition by user_id, event_type order by ts rows between 1 following and unbounded following), 0) as later from events where ts is not null and user_id is not null and event_type is not null group by user_id, event_type, ts) t group by user_id, event_type having sum(n * later) > 3 order by repeats desc, user_id, event_type limit 100",
+    "q_self_join_ineq": "select user_id, event_type, sum(n * later) as repeats, min(case when later > 0 then ts end) as first_visit, max(case when later > 0 then ts end) as last_visit from (select user_id, event_type, ts, count(*) as n, coalesce(sum(count(*)) over (partition by user_id, event_type order by ts rows between 1 following and unbounded following), 0) as later from events where ts is not null and user_id is not null and event_type is not null group by user_id, event_type, ts) t group by user_id, event_type having sum(n * later) > 3 order by repeats desc, user_id, event_type limit 100",
     "j_asof": "select event_id, max(case when event_type = 'purchase' then event_id end) over (partition by user_id order by event_id range between unbounded preceding and current row) as purchase from events",
     # One row per nation, customer and teller, so that only those few are counted as different.
     "q_join4_report": f"select n_nationkey, count(distinct c_custkey) as active_accounts, sum(total_txns) as total_txns, round(sum(net_flow), 2) as net_flow, round(sum(credits), 2) as credits, round(sum(debits), 2) as debits, count(distinct tid) as active_tellers from (select n_nationkey, c_custkey, tid, count(delta) as total_txns, sum(delta) as net_flow, sum(case when delta > 0 then delta else 0 end) as credits, sum(case when delta < 0 then delta else 0 end) as debits from nation join customer on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey join {HISTORY} h on h.aid = c_custkey and h.tid = s_suppkey group by n_nationkey, c_custkey, tid) t group by n_nationkey order by total_txns desc, n_nationkey",
