@@ -479,7 +479,7 @@ def st_message_log(spark, d):
     from ..streaming.messages import frame
 
     engine = _engine(spark)
-    engine.config.flush_rows = 10
+    engine.config.flush_rows = 25
     fields = [evolve.Field("n_nationkey", reg.INT8, True), evolve.Field("n_name", reg.TEXT)]
     begin, commit = b"B" + bytes(20), b"C" + bytes(25)
     log, lsn = [frame(1, pg.relation(7, "public", "nation", fields))], 1
