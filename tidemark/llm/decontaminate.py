@@ -78,7 +78,7 @@ def shared(a: Column, b: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, shingle: int = SHINGLE, scratch: Scratch | None = None) -> DataFrame:
-    """``doc_id, item_id, start_word, n_shingles, distance, similarity`` of each matching window.
+    """``doc_id, text_key (hash of the text), item_id, start_word, n_shingles, distance, similarity`` of each matching window.
 
     Whole texts and items of any length are compared.  Null and empty texts hold no window; items of under ``shingle`` words are one shingle and match only a
     document that is as short.  ``n_shingles`` is the size of the window, less than the item's where the document is shorter.  Repeated rows of either table count once; ids may be shared by different
@@ -123,9 +123,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     candidates = left.join(few(right), ["item", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "w", "m", "start", "item", "distance").distinct()
     candidates = scratch.save(candidates)
     full = candidates.alias("c").join(texts.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))).join(few(items).alias("i"), F.col("c.item") == F.col("i.item"))
-    both = full.select("c.doc_id", "i.item_id", "c.start", "c.w", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.w")).alias("window"), "i.shingles")
+    both = full.select("c.doc_id", "c.text_key", "i.item_id", "c.start", "c.w", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.w")).alias("window"), "i.shingles")
     same = shared(F.col("window"), F.col("shingles"))
-    return both.withColumn("same", same).withColumn("similarity", F.col("same") / (F.col("w") + F.col("m") - F.col("same"))).where(F.col("similarity") >= similar - 1e-9).select("doc_id", "item_id", F.col("start").alias("start_word"), F.col("w").alias("n_shingles"), "distance", "similarity")
+    return both.withColumn("same", same).withColumn("similarity", F.col("same") / (F.col("w") + F.col("m") - F.col("same"))).where(F.col("similarity") >= similar - 1e-9).select("doc_id", "text_key", "item_id", F.col("start").alias("start_word"), F.col("w").alias("n_shingles"), "distance", "similarity")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -141,8 +141,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a matching window, with all their columns, whatever their names.
 
-    All rows of a doc_id that matches go, null ids being one.  Null and empty texts stay, and repeated rows stay repeated.
+    Rows are told apart by doc_id and text, a null doc_id being as any other.  Null and empty texts stay, and repeated rows stay repeated.
     An empty table stays empty.
     """
-    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_found"]), "left_anti")
+    found = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_found"), F.col("text_key").alias("_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_found"]) & (F.xxhash64(docs["text"].cast("string")) == found["_key"])
+    return docs.join(found, same, "left_anti")
