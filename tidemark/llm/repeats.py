@@ -241,7 +241,7 @@ def opened(start: np.ndarray, further: np.ndarray, trigger: np.ndarray, hot: np.
     return rows
 
 
-def dictionary(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
+def dictionary(pdf: pd.DataFrame, hot: int, buckets: int) -> pd.DataFrame:
     """One bucket's phrases: the ranges of starts that are repeated as a whole, and those still open."""
     got, passed, still, told = [], [], [], [np.zeros(0, U64)]
     for kind, blob in zip(pdf["kind"], pdf["blob"]):
@@ -285,12 +285,31 @@ def dictionary(pdf: pd.DataFrame, hot: int) -> pd.DataFrame:
             still.append((ids[own], keys[own], opened(first[own], further[own], trigger[own], often[several])))
     full, left = {}, {}
     if still:
-        left = grouped(*(np.concatenate(x) for x in zip(*still)))
+        left = dealt(buckets, *(np.concatenate(x) for x in zip(*still)))
     if passed:
         ids, keys, first, further = (np.concatenate(x) for x in zip(*passed))
         rows = np.empty(len(ids), dtype=RANGE)
         rows["start"], rows["further"] = first, further
-        full = grouped(ids, keys, rows)
+        full = dealt(buckets, ids, keys, rows)
+    every = sorted({*full, *left})
+    return pd.DataFrame({"to": every, "whole": [full.get(x) for x in every], "open": [left.get(x) for x in every]}, columns=["to", "whole", "open"]).astype({"to": "int32"})
+
+
+def dealt(buckets: int, ids: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> dict[int, bytes]:
+    """``rows`` packed by the bucket of their document."""
+    to = ((ids ^ keys).astype(U64) * ODD >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(to, kind="stable")
+    edges = np.searchsorted(to[order], np.arange(buckets + 1))
+    return {int(b): pack(*(x[order[edges[b] : edges[b + 1]]] for x in (ids, keys, rows))) for b in np.flatnonzero(np.diff(edges))}
+
+
+def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What all buckets found for the documents of one: a row for each document."""
+    found = []
+    for column, kind in (("whole", RANGE), ("open", OPEN)):
+        parts = [unpack(b, I64, I64, kind) for b in pdf[column] if b is not None]
+        found.append(grouped(*(np.concatenate(x) for x in zip(*parts))) if parts else {})
+    full, left = found
     every = sorted({*full, *left})
     return pd.DataFrame({"doc_id": [d for d, _ in every], "text_key": [k for _, k in every], "whole": [full.get(x) for x in every], "open": [left.get(x) for x in every]}, columns=["doc_id", "text_key", "whole", "open"]).astype({"doc_id": "int64", "text_key": "int64"})
 
@@ -418,7 +437,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch | None = None, bucket_bytes
     total = facts.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     parsed = source.mapInArrow(parser(buckets, hot, combined), "bucket int, kind int, blob binary")
-    found = scratch.save(parsed.groupBy("bucket").applyInPandas(lambda pdf: dictionary(pdf, hot), FOUND))
+    settled = parsed.groupBy("bucket").applyInPandas(lambda pdf: dictionary(pdf, hot, buckets), "to int, whole binary, open binary")
+    found = scratch.save(settled.groupBy("to").applyInPandas(gather, FOUND))
     # A whole text that a smaller doc_id has too is settled.
     first = scratch.save(facts.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     facts = scratch.save(facts.join(first, "sha", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first"))
