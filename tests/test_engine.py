@@ -207,6 +207,22 @@ def test_expire_keeps_the_live_files(spark, tmp_path):
     assert t.expire() == 2 and [r["id"] for r in t.read().collect()] == [2]
 
 
+@pytest.mark.parametrize("rows_per_file, files", [(2, 3), (0, 1)])
+def test_files_are_split_by_rows_as_configured(spark, tmp_path, rows_per_file, files):
+    engine = Engine(spark, str(tmp_path), Config(rows_per_file=rows_per_file))
+    table = engine.table(*NAME).create(evolve.initial(FIELDS))
+    table.append(spark.createDataFrame([(i, "a", "b") for i in range(5)], "id long, name string, big string").coalesce(1))
+    assert len(table.files()) == files and table.read().count() == 5
+
+
+def test_pruned_merge_counts_three_files_whatever_the_split(spark, tmp_path, monkeypatch):
+    from tidemark.plans import queries
+
+    monkeypatch.setattr(queries, "_engine", lambda s: Engine(s, str(tmp_path), Config(rows_per_file=100)))
+    got = queries.t_pruned_merge(spark, "/root/testdata/sf0.001").collect()
+    assert {r["files_kept"] for r in got} == {2} and not {r["event_id"] for r in got} & set(range(120, 131))
+
+
 def test_decoder():
     d = pg.Decoder()
     assert d.decode(1, pg.relation(5, "public", "t", FIELDS)) == []

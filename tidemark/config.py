@@ -6,6 +6,8 @@ import os
 import re
 from dataclasses import dataclass, field, fields
 
+from .operators.snapshot import ROWS_PER_FILE
+
 PREFIX = "TIDEMARK_"
 
 
@@ -31,6 +33,7 @@ class Config:
     parallel_tables: int = 4
     flush_rows: int = 10_000
     flush_interval: float = 2
+    rows_per_file: int = ROWS_PER_FILE
     include_tables: list[str] = field(default_factory=list)
     exclude_tables: list[str] = field(default_factory=list)
     listen_addr: str = ":5433"
@@ -50,6 +53,7 @@ class Config:
         wrong = [f"{n} is required" for n in ("source_url", "root") if not getattr(self, n)]
         wrong += ["include_tables and exclude_tables exclude each other"] * bool(self.include_tables and self.exclude_tables)
         wrong += [f"{n} must be positive" for n in ("flush_rows", "flush_interval", "parallel_tables") if getattr(self, n) <= 0]
+        wrong += ["rows_per_file must not be negative"] * (self.rows_per_file < 0)
         if wrong:
             raise ValueError("; ".join(wrong))
 

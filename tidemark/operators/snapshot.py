@@ -29,6 +29,8 @@ from ..plans import evolve
 
 #: Seconds after which the metadata of a commit that nobody finished is replaced; snapshots that a version remembers; manifests of a snapshot from which they are joined.
 GRACE, REMEMBERED, MANIFESTS = 60.0, 200, 64
+#: Rows from which a data file is split; 0: a file for each task that writes, whatever its rows.
+ROWS_PER_FILE = 5_000_000
 
 
 class CommitConflict(RuntimeError):
@@ -91,11 +93,12 @@ class Store:
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, root: str, schema: str, table: str, store: Store | None = None, owner: str | None = None):
+    def __init__(self, spark: SparkSession, root: str, schema: str, table: str, store: Store | None = None, owner: str | None = None, rows_per_file: int = ROWS_PER_FILE):
         self.spark, self.name = spark, (schema, table)
         self.store = store or Store(spark, root)
         self.path = f"{root.rstrip('/')}/{schema}/{table}"
         self.owner = owner or uuid.uuid4().hex
+        self.rows_per_file = rows_per_file
 
     # Metadata.
 
@@ -218,13 +221,13 @@ class SnapshotTable:
 
     # Writing.
 
-    def _write(self, df: DataFrame, base: int, rows_per_file: int, keys: list[str]) -> tuple[list[dict], int]:
+    def _write(self, df: DataFrame, base: int, keys: list[str]) -> tuple[list[dict], int]:
         schema = self.schema()
         self.spark.conf.set("spark.sql.parquet.fieldId.write.enabled", "true")
         meta = lambda f: {evolve.FIELD_ID: f.metadata[evolve.FIELD_ID]}
         shaped = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name, metadata=meta(f)) for f in schema.fields if f.name in df.columns])
         folder = f"{base + 1}-{uuid.uuid4().hex}"
-        shaped.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.path}/data/{folder}")
+        shaped.write.option("maxRecordsPerFile", self.rows_per_file).parquet(f"{self.path}/data/{folder}")
         names = [x.rsplit("/", 1)[1] for x in self.store.list(f"{self.path}/data/{folder}/*.parquet")]
         if not names:
             return [], 0
@@ -240,7 +243,7 @@ class SnapshotTable:
                 files[-1] |= {"key": keys[0], "low": r["low"], "high": r["high"], "nulls": r["nulls"]}
         return files, sum(f["rows"] for f in files)
 
-    def commit(self, df: DataFrame | None, operation: str, summary: dict | None = None, base: int | None = None, rows_per_file: int = 5_000_000, replaced: list[dict] | None = None, deletes: tuple[DataFrame, list[str]] | None = None) -> int:
+    def commit(self, df: DataFrame | None, operation: str, summary: dict | None = None, base: int | None = None, replaced: list[dict] | None = None, deletes: tuple[DataFrame, list[str]] | None = None) -> int:
         """A new snapshot with the rows of ``df``, if any.
 
         ``append`` carries the present files forward; ``overwrite`` does not, or with ``replaced`` all but these;
@@ -255,10 +258,10 @@ class SnapshotTable:
             gone = {f["path"] for f in replaced}
             left = [f for m in kept if m["kind"] == "data" for f in json.loads(self.store.read(self._meta(m["path"])))["files"] if f["path"] not in gone]
             kept = [m for m in kept if m["kind"] != "data"] + ([self._manifest("data", left, sum(f["rows"] for f in left))] if left else [])
-        new, rows = self._write(df, base, rows_per_file, keys) if df is not None else ([], 0)
+        new, rows = self._write(df, base, keys) if df is not None else ([], 0)
         kept += [self._manifest("data", new, rows)] if new else []
         if deletes is not None:
-            marks, _ = self._write(deletes[0].select(*deletes[1]).distinct(), base, rows_per_file, [])
+            marks, _ = self._write(deletes[0].select(*deletes[1]).distinct(), base, [])
             kept += [self._manifest("delete", [{**m, "keys": deletes[1]} for m in marks], 0)] if marks else []
         if len(kept) > MANIFESTS:
             files = {k: [f for m in kept if m["kind"] == k for f in json.loads(self.store.read(self._meta(m["path"])))["files"]] for k in ("data", "delete")}
