@@ -552,6 +552,33 @@ def test_line_groups_against_brute_force(spark):
     assert not wrong and sum(got.values()) >= 0.95 * sum(want.values()) and sum(want.values()) > 25
 
 
+@pytest.mark.parametrize("crowded, block", [(64, 20_000), (3, 20_000), (3, 7)])
+def test_crowded_keys_lose_no_candidate(spark, monkeypatch, crowded, block):
+    """Lines that share a passage and differ in the rest: whatever ``near`` asks of a pair, it gets on crowded keys too."""
+    monkeypatch.setattr(lines, "CROWDED", crowded)
+    monkeypatch.setattr(lines.meet, "BLOCK", block)
+    rng, rows = random.Random(83), []
+    passage = prose(rng, 9)
+    for _ in range(40):
+        words = prose(rng, 9).split()
+        rows.append(passage + " " + " ".join(words))
+        for _ in range(2):
+            copy = [w[:-1] + rng.choice("qz") if rng.random() < 0.5 else w for w in words]
+            rows.append(passage + " " + " ".join(copy))
+    size, fp, owner, keys = lines.sketches(rows)
+    own = [set(keys[owner == i].tolist()) for i in range(len(rows))]
+    need = lines.near(size[:, None].repeat(len(rows), 1).ravel(), np.tile(size, len(rows)), fp[:, None].repeat(len(rows), 1).ravel(), np.tile(fp, len(rows))).reshape(len(rows), -1)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if need[i, j] and len(own[i] & own[j]) >= need[i, j] and _distance(rows[i], rows[j]) <= 0.2 * max(len(rows[i]), len(rows[j])) + 1e-9:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(docs).collect()}
+    assert len(set(label)) > 20 and got == {i: int(label.index(label[i]) != i) for i in range(len(rows))}
+
+
 def test_line_recall_by_length_and_change():
     """The share of changed lines that are candidates of their original, by the keys and fingerprints alone."""
     rng = random.Random(71)

@@ -164,9 +164,36 @@ def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.nda
     return (np.bitwise_count(fp_a ^ fp_b) <= radius).astype(np.int8)
 
 
-def _strict(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """For texts that meet on crowded keys only.  At similarity 0.8 two of eight keys or fewer are shared in 0.1 % of cases."""
-    return shared >= 3
+def _sketch(text: bytes, shingle: int) -> tuple[int, int, np.ndarray]:
+    """Number of different shingles, SimHash and keys."""
+    found = np.unique(shingle_hashes(text, shingle))
+    return len(found), fold(found), found[:KEYS]
+
+
+def _sketches(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and SimHashes of the texts, and places and values of their keys."""
+    return _keys([_sketch(t.encode(), shingle) for t in texts])
+
+
+def _keys(sketched: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    size, fp = np.array([v[0] for v in sketched]), np.array([v[1] for v in sketched], dtype=np.uint64)
+    owner = np.repeat(np.arange(len(sketched)), [len(v[2]) for v in sketched])
+    keys = np.concatenate([v[2] for v in sketched]) * np.uint64(0x9E3779B97F4A7C15)  # least hashes are small numbers
+    return size, fp, owner, keys ^ keys >> np.uint64(32)
+
+
+def _confirm(xs: list[str], ys: list[str], shingle: int, similar: float) -> np.ndarray:
+    """Whether the sets of shingles of each pair are similar enough."""
+    known: dict[str, np.ndarray] = {}
+    good = np.zeros(len(xs), dtype=bool)
+    for k, pair in enumerate(zip(xs, ys)):
+        for t in pair:  # the first text of a key comes many times
+            if t not in known:
+                known[t] = np.unique(shingle_hashes(t.encode(), shingle))
+        x, y = (known[t] for t in pair)
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        good[k] = same >= (similar - 1e-9) * (len(x) + len(y) - same)
+    return good
 
 
 SKETCHED = "kind int, bucket int, blob binary, doc_id long, text_key long, id long"
@@ -181,10 +208,8 @@ def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, rad
 
         def send() -> Iterator[pa.RecordBatch]:
             ids = np.fromiter(held, dtype=np.uint64, count=len(held)).view(np.int64)
-            size, fp = (np.array(x) for x in ([v[0] for v in held.values()], np.array([v[1] for v in held.values()], dtype=np.uint64)))
-            owner = np.repeat(np.arange(len(held)), [len(v[2]) for v in held.values()])
-            keys = np.concatenate([v[2] for v in held.values()]) * np.uint64(0x9E3779B97F4A7C15)  # least hashes are small numbers
-            for kind, bucket, blob in meet.outgoing(buckets, ids, size, fp, owner, keys ^ keys >> np.uint64(32), similar, partial(_near, radius=radius), crowded):
+            size, fp, owner, keys = _keys(list(held.values()))
+            for kind, bucket, blob in meet.outgoing(buckets, ids, size, fp, owner, keys, similar, partial(_near, radius=radius), crowded):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], schema=schema)
             held.clear()
 
@@ -193,8 +218,7 @@ def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, rad
             for text in as_bytes(batch.column(1)):
                 ids.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
                 if ids[-1] not in held:
-                    found = np.unique(shingle_hashes(text, shingle))
-                    held[ids[-1]] = len(found), fold(found), found[:KEYS]
+                    held[ids[-1]] = _sketch(text, shingle)
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), batch.column(2), pa.array(np.array(ids, dtype=np.uint64).view(np.int64))], schema=schema)
             if len(held) >= HELD:
@@ -220,27 +244,10 @@ def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle:
     rows = packed.where("kind = 0").select("doc_id", "text_key", "id")
     texts_of = scratch.save(rows.groupBy("id").agg(F.min("text_key").alias("text_key")))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts_of, "id")
-        texts = scratch.save(source.select("text_key", "text").join(wanted, "text_key").select("id", "text").dropDuplicates(["id"]))
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-
-        def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                good, known = [], {}
-                for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
-                    for t in (x, y):  # the first text of a key comes many times
-                        if t not in known:
-                            known[t] = np.unique(shingle_hashes(t, shingle))
-                    same = len(np.intersect1d(known[x], known[y], assume_unique=True))
-                    good.append(same >= (similar - 1e-9) * (len(known[x]) + len(known[y]) - same))
-                yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        found = scratch.save(both.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long"))
-        scratch.drop(texts)
-        return found
-
-    labels = meet.components(scratch, packed, verify, similar, partial(_near, radius=radius), _strict, crowded)
+    def of(ids: DataFrame) -> DataFrame:
+        return source.select("text_key", "text").join(ids.join(texts_of, "id").hint("shuffle_hash"), "text_key").select("id", "text").dropDuplicates(["id"])
+
+    labels = meet.components(scratch, packed, of, partial(_sketches, shingle=shingle), partial(_confirm, shingle=shingle, similar=similar), similar, partial(_near, radius=radius), crowded)
     known = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
     classes = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     return known.join(classes, "label").select("doc_id", "text_key", "component_id", F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key")).alias("keep"))
