@@ -28,7 +28,6 @@ BREAK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table article section
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9-]*")
 ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of a page in which a meta element may name the charset.
 HEAD = 1024
 
@@ -42,7 +41,12 @@ def record_id(*parts: object) -> str:
 
 
 def one_line(text: str) -> str:
-    return re.sub(r"[\r\n]+", " ", text)
+    return re.sub(r"[\r\n]+", " ", text) if "\n" in text or "\r" in text else text
+
+
+def lowered(text: str) -> str:
+    """With A-Z in lower case and all other characters, and so all places, as they were."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def write_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -99,7 +103,7 @@ def pieces(html: str) -> Iterator[tuple[str, str, str]]:
     One pass: what is looked for is always beyond what is settled, and what isn't there is looked for once.
     Comments and the content of hidden elements are left out, to the end if they aren't closed.
     """
-    low, at, n = html.translate(LOWER), 0, len(html)
+    low, at, n = lowered(html), 0, len(html)
     while at < n:
         begin = html.find("<", at)
         if begin < 0:
