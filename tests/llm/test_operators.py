@@ -595,6 +595,31 @@ def test_crowded_keys_lose_no_candidate(spark, monkeypatch, crowded, block):
     assert len(set(label)) > 20 and got == {i: int(label.index(label[i]) != i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("crowded", [2, 64])
+def test_crowded_shingles_lose_no_candidate(spark, crowded):
+    """Documents that share a passage: classes don't depend on how many rows crowd a key."""
+    from tidemark.llm import simhash
+
+    rng, rows = random.Random(89), []
+    passage = prose(rng, 40)
+    for _ in range(25):
+        words = prose(rng, 40).split()
+        rows += [passage + " " + " ".join(words), passage + " " + " ".join(w if rng.random() < 0.97 else "new" for w in words), " ".join(words[:8]) + " " + passage]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in rows]
+    size, fp, owner, keys = simhash._sketches(rows, 5)
+    own = [set(keys[owner == i].tolist()) for i in range(len(rows))]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if own[i] & own[j] and int(fp[i] ^ fp[j]).bit_count() <= 22 and same >= (0.8 - 1e-9) * (len(sets[i]) + len(sets[j]) - same):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, crowded=crowded).collect()}
+    assert len(set(label)) > 10 and got == {i: label.index(label[i]) for i in range(len(rows))}
+
+
 def test_line_recall_by_length_and_change():
     """The share of changed lines that are candidates of their original, by the keys and fingerprints alone."""
     rng = random.Random(71)
