@@ -595,6 +595,21 @@ def test_crowded_keys_lose_no_candidate(spark, monkeypatch, crowded, block):
     assert len(set(label)) > 20 and got == {i: int(label.index(label[i]) != i) for i in range(len(rows))}
 
 
+def test_a_group_of_similar_rows_is_joined_by_few_verified_pairs():
+    n, asked = 200, []
+
+    def confirm(xs, ys):
+        asked.append(len(xs))
+        return np.array([x[0] == y[0] for x, y in zip(xs, ys)])
+
+    groups = lines.meet.Joined(np.arange(n), ["ab"[k % 2] for k in range(n)], confirm)
+    i, j = (x.astype(np.int64) for x in np.tril_indices(n, -1))
+    groups.settle(i, j, (i - j) % 2)
+    assert len(groups.links) == n - 2 and len(set(groups.group(np.arange(n)).tolist())) == 2
+    other = (n // 2) ** 2  # pairs across both kinds, which nothing but looking tells apart
+    assert sum(asked) < other + 10 * n
+
+
 @pytest.mark.parametrize("crowded", [2, 64])
 def test_crowded_shingles_lose_no_candidate(spark, crowded):
     """Documents that share a passage: classes don't depend on how many rows crowd a key."""
