@@ -635,6 +635,30 @@ def test_crowded_shingles_lose_no_candidate(spark, crowded):
     assert len(set(label)) > 10 and got == {i: label.index(label[i]) for i in range(len(rows))}
 
 
+def test_similar_documents_with_far_fingerprints_or_no_common_least_shingle(spark):
+    """Links of similarity 0.8 that eight least hashes, or SimHashes within 22 bits, don't show."""
+    from tidemark.llm import simhash
+
+    rng, rows = random.Random(97), []
+    hashes = lambda t: simhash.shingle_hashes(t.encode(), 5)
+    while len(rows) < 6:  # four shingles and the same with a fifth
+        words = prose(rng, 9).split()
+        x, y = " ".join(words[:8]), " ".join(words)
+        if (simhash.fold(hashes(x)) ^ simhash.fold(hashes(y))).bit_count() > 22:
+            rows += [x, y]
+    for _ in range(3):  # all shingles with one of the eight least hashes are changed
+        words = prose(rng, 500).split()
+        least = np.argsort(hashes(" ".join(words)))[:8]
+        rows += [" ".join(words), " ".join("changed" if k - 2 in least else w for k, w in enumerate(words))]
+    for a, b in zip(rows[::2], rows[1::2]):
+        a, b = (set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b))
+        assert len(a & b) >= 0.8 * len(a | b) - 1e-9
+    for crowded in (64, 1):
+        docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, crowded=crowded).collect()}
+        assert got == {i: i // 2 * 2 for i in range(len(rows))}
+
+
 def test_line_recall_by_length_and_change():
     """The share of changed lines that are candidates of their original, by the keys and fingerprints alone."""
     rng = random.Random(71)

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import meet
@@ -154,25 +154,46 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Of the least shingle hashes of a text as many are keys: texts of similarity 0.8 share none of eight in 0.2 ** 8 of cases.
-KEYS = 8
-#: Texts that a task sketches before it sends their keys.
-HELD = 50_000
+#: A text of n shingles has n / EXTRA more keys than one shared key asks for: so similar texts share as many more, and others seldom do.
+EXTRA = 16
+#: Keys that may be missed, since two of a text may be equal in the bits that travel.
+MISSED = 2
+#: Texts that a task sketches before it sends their keys, and keys of them.
+HELD, HELD_KEYS = 50_000, 1_000_000
 
 
-def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.ndarray, radius: int) -> np.ndarray:
-    return (np.bitwise_count(fp_a ^ fp_b) <= radius).astype(np.int8)
+def _beyond(n: np.ndarray, similar: float) -> np.ndarray:
+    """Of ``n`` different shingles of a text those that are no keys; the keys are those with the least hashes."""
+    return np.maximum(np.ceil(n * similar - 1e-9) - 1 - n // EXTRA, 0).astype(np.int64)
 
 
-def _sketch(text: bytes, shingle: int) -> tuple[int, int, np.ndarray]:
+def _near(size_a: np.ndarray, size_b: np.ndarray, fp_a: np.ndarray, fp_b: np.ndarray, similar: float) -> np.ndarray:
+    """Keys that texts of these sizes share at least if they are similar.
+
+    Up to the last key of the one text whose last key is less, all shingles of both are keys; beyond it they can't share more than
+    this text has left.
+    """
+    longer = np.maximum(size_a, size_b)
+    common = np.maximum(np.ceil((size_a + size_b) * (similar / (1 + similar)) - 1e-9), np.ceil(longer * similar - 1e-9)).astype(np.int64)
+    least = np.maximum(common - np.maximum(_beyond(size_a, similar), _beyond(size_b, similar)) - MISSED, 1)
+    return np.where(longer >= meet.LARGEST, 1, least)
+
+
+def _least(size: Column, similar: float) -> Column:
+    """Keys that a text of this size shares at least with any similar one: such has ``similar`` as many shingles or more."""
+    shorter = F.ceil(size * similar - 1e-9)
+    return F.when(size >= meet.LARGEST, 1).otherwise(F.greatest(F.lit(1), F.floor(shorter / EXTRA) + 1 - MISSED))
+
+
+def _sketch(text: bytes, shingle: int, similar: float) -> tuple[int, int, np.ndarray]:
     """Number of different shingles, SimHash and keys."""
     found = np.unique(shingle_hashes(text, shingle))
-    return len(found), fold(found), found[:KEYS]
+    return len(found), fold(found), found[: len(found) - int(_beyond(np.int64(len(found)), similar))]
 
 
-def _sketches(texts: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sketches(texts: list[str], shingle: int, similar: float = 0.8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sizes and SimHashes of the texts, and places and values of their keys."""
-    return _keys([_sketch(t.encode(), shingle) for t in texts])
+    return _keys([_sketch(t.encode(), shingle, similar) for t in texts])
 
 
 def _keys(sketched: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -199,17 +220,18 @@ def _confirm(xs: list[str], ys: list[str], shingle: int, similar: float) -> np.n
 SKETCHED = "kind int, bucket int, blob binary, doc_id long, text_key long, id long"
 
 
-def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, radius: int, crowded: int) -> DataFrame:
+def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, crowded: int) -> DataFrame:
     """All texts (kind 0), and what ``meet`` asks of the different texts that each task holds."""
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, int, np.ndarray]] = {}
+        n_keys = 0
 
         def send() -> Iterator[pa.RecordBatch]:
             ids = np.fromiter(held, dtype=np.uint64, count=len(held)).view(np.int64)
-            size, fp, owner, keys = _keys(list(held.values()))
-            for kind, bucket, blob in meet.outgoing(buckets, ids, size, fp, owner, keys, similar, partial(_near, radius=radius), crowded):
+            size, _, owner, keys = _keys(list(held.values()))
+            for kind, bucket, blob in meet.outgoing(buckets, ids, size, np.zeros(len(ids), np.uint64), owner, keys, similar, partial(_near, similar=similar), crowded):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], schema=schema)
             held.clear()
 
@@ -218,36 +240,38 @@ def _sketched(source: DataFrame, buckets: int, shingle: int, similar: float, rad
             for text in as_bytes(batch.column(1)):
                 ids.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7))
                 if ids[-1] not in held:
-                    held[ids[-1]] = _sketch(text, shingle)
+                    held[ids[-1]] = _sketch(text, shingle, similar)
+                    n_keys += len(held[ids[-1]][2])
             n = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), batch.column(0), batch.column(2), pa.array(np.array(ids, dtype=np.uint64).view(np.int64))], schema=schema)
-            if len(held) >= HELD:
+            if len(held) >= HELD or n_keys >= HELD_KEYS:
                 yield from send()
+                n_keys = 0
         if held:
             yield from send()
 
     return source.select("doc_id", "text", "text_key").mapInArrow(run, SKETCHED)
 
 
-def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, radius: int = 22, similar: float = 0.8, crowded: int = meet.CROWDED) -> DataFrame:
+def similar_documents(docs: DataFrame, scratch: Scratch | None = None, shingle: int = 5, similar: float = 0.8, crowded: int = meet.CROWDED) -> DataFrame:
     """Class of each document by the similarity of its set of shingles: ``(doc_id, text_key, component_id, keep)``, one row per input row.
 
-    Texts that share one of their least shingle hashes and have SimHashes within ``radius`` bits are verified by
-    the exact Jaccard similarity of their sets.  At 0.8 SimHashes differ by about 10 bits with a standard
-    deviation of 3.  Texts with the same words are one; nulls and ids are treated as by ``near_duplicates``.
+    No link is lost: a text's keys are as many of its least shingle hashes (about a quarter) as show of every pair whether it can be
+    similar, and pairs that share as many as similar ones must are verified by the exact Jaccard similarity of their sets.  In crowded
+    keys those with the nearest SimHashes come first.  Texts with the same words are one; nulls and ids are treated as by ``near_duplicates``.
     ``keep`` marks the rows of a class with its first (doc_id, text_key); a null doc_id comes after all others here.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     total = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    packed = scratch.save(_sketched(source, max(1, -(-total // (8 * meet.BUCKET_BYTES))), shingle, similar, radius, crowded), by="kind")
+    packed = scratch.save(_sketched(source, max(1, -(-total // meet.BUCKET_BYTES)), shingle, similar, crowded), by="kind")
     rows = packed.where("kind = 0").select("doc_id", "text_key", "id")
     texts_of = scratch.save(rows.groupBy("id").agg(F.min("text_key").alias("text_key")))
 
     def of(ids: DataFrame) -> DataFrame:
         return source.select("text_key", "text").join(ids.join(texts_of, "id").hint("shuffle_hash"), "text_key").select("id", "text").dropDuplicates(["id"])
 
-    labels = meet.components(scratch, packed, of, partial(_sketches, shingle=shingle), partial(_confirm, shingle=shingle, similar=similar), similar, partial(_near, radius=radius), crowded)
+    labels = meet.components(scratch, packed, of, partial(_sketches, shingle=shingle, similar=similar), partial(_confirm, shingle=shingle, similar=similar), similar, partial(_near, similar=similar), crowded, partial(_least, similar=similar))
     known = rows.join(labels.withColumnRenamed("node", "id"), "id", "left").select("doc_id", "text_key", F.coalesce("label", "id").alias("label"))
     classes = known.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
     return known.join(classes, "label").select("doc_id", "text_key", "component_id", F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key")).alias("keep"))
