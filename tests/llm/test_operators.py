@@ -536,6 +536,15 @@ def test_all_windows_against_brute_force(spark):
     assert found <= want and len(want) > 40 and len(found) >= 0.99 * len(want)
 
 
+def test_similar_windows_with_far_fingerprints_are_found(spark):
+    """Four of an item's five shingles have similarity 0.8, but the fingerprints of so few may differ in any number of bits."""
+    rng = random.Random(53)
+    items = [(i, prose(rng, 9)) for i in range(1500)]
+    docs = [(i, t.rsplit(" ", 1)[0]) for i, t in items]
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i, _ in items} and max(r["distance"] for r in got) > decontaminate.RADIUS
+
+
 def test_an_item_of_one_word_many_times(spark):
     text = "word " * 40_000
     docs = spark.createDataFrame([(1, text), (2, "word " * 50)], "doc_id long, text string")

@@ -9,8 +9,9 @@ shingle weighing as often as it occurs) meet by multi-index Hamming blocks: with
 fingerprints within ``radius`` agree on one at least, so none is lost.  Candidates are verified by the exact
 weighted Jaccard similarity, the sum of the smaller over the sum of the larger multiplicities.
 
-At the default similarity of 0.8 two fingerprints differ by about 10 bits with a standard deviation of 3;
-the default radius of 20 leaves a chance of missing a match at the threshold of about one in 10,000.
+At the default similarity of 0.8 two fingerprints differ by about 10 bits with a standard deviation of 3, those of
+five shingles and fewer by more.  A window further from its item than ``radius`` meets the item without blocks and is verified
+like the others, so every window of the similarity is found.
 """
 
 from __future__ import annotations
@@ -120,8 +121,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     left = named.join(marked, "window_id").select("*", F.explode(block_array(F.col("fp"), radius)).alias("block"))
     right = item_fp.select("item", "item_fp", F.explode(block_array(F.col("item_fp"), radius)).alias("block"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    candidates = left.join(few(right), ["item", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select("doc_id", "text_key", "w", "m", "start", "item", "distance").distinct()
-    candidates = scratch.save(candidates)
+    named_so = ["doc_id", "text_key", "w", "m", "start", "item", "distance"]
+    close = left.join(few(right), ["item", "block"]).withColumn("distance", apart).where(F.col("distance") <= radius).select(*named_so).distinct()
+    # Short windows may be similar and further apart: they are verified all the same.
+    far = named.join(marked, "window_id").join(few(item_fp.select("item", "item_fp")), "item").withColumn("distance", apart).where(F.col("distance") > radius).select(*named_so)
+    candidates = scratch.save(close.unionByName(far))
     full = candidates.alias("c").join(texts.alias("t"), F.col("c.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("c.text_key") == F.col("t.text_key"))).join(few(items).alias("i"), F.col("c.item") == F.col("i.item"))
     both = full.select("c.doc_id", "c.text_key", "i.item_id", "c.start", "c.w", "c.m", "c.distance", F.slice("t.s", F.col("c.start") + 1, F.col("c.w")).alias("window"), "i.shingles")
     same = shared(F.col("window"), F.col("shingles"))
