@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import types
 import zlib
 from itertools import accumulate
 
@@ -761,3 +762,48 @@ def test_nulls_ties_and_repeated_rows_of_the_stages(spark, empty):
     assert stages.keep_good(docs, labels).count() == len(rows)
     for out in (stages.keep_one_of_each(empty), stages.drop_repeated_lines(empty), stages.drop_contaminated(empty, bench), stages.keep_good(empty, labels)):
         assert out.count() == 0 and out.columns == empty.columns
+
+
+def test_edit_tables_stay_near_the_diagonal(monkeypatch):
+    class Counted:
+        """numpy; ``invert`` is called twice for each block of 64 rows and column."""
+
+        def __init__(self):
+            self.n = 0
+
+        def __getattr__(self, name):
+            self.n += name == "invert"
+            return getattr(np, name)
+
+    rnd = random.Random(3)
+    xs = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(700, 1000))) for _ in range(40)]
+    ys = []
+    for k, x in enumerate(xs):
+        y = list(x)
+        for _ in range(k):
+            at = rnd.randrange(len(y))
+            y[at : at + rnd.randint(0, 2)] = rnd.choice(["", "z", "zz"])
+        ys.append("z" + "".join(y) + "z")
+    apart = [edits.edits(x, y) for x, y in zip(xs, ys)]
+    for off in (-1, 0, 1, 30):
+        most = np.array([max(0, d + off) for d in apart])
+        assert edits.table(xs, ys, most).tolist() == [d <= m for d, m in zip(apart, most)]
+    counted = Counted()
+    monkeypatch.setattr(edits, "np", counted)
+    few = [k for k, d in enumerate(apart) if d <= 20]
+    assert edits.table([xs[k] for k in few], [ys[k] for k in few], np.array([20] * len(few))).all()
+    assert counted.n // 2 < 4 * 1000  # of about 16 * 1000
+
+
+def test_lines_of_any_script_are_normalised_alike(monkeypatch):
+    rnd = random.Random(1)
+    characters = ["a", "B", "é", "Σ", "İ", "ß", "_", " ", "  ", "\n", "\t", "\r", "\xa0", " ", ".", "-", "²", "中", "̇", "\x1c", "ﬁ", "😀"]
+    texts = ["".join(rnd.choice(characters[: 22 if k % 3 else 21]) for _ in range(rnd.randint(0, 14))) for k in range(5000)]
+    found = [(t, [(i, lines.normal(x) or x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()]) for t in texts]
+    tries = []
+    monkeypatch.setattr(lines, "OTHER", types.SimpleNamespace(sub=lambda by, x: tries.append(x) or x))
+    narrow = [(t, e) for t, e in found if "😀" not in t]
+    assert all(lines.eligible(t) == e for t, e in narrow)
+    assert not tries  # no line by itself
+    monkeypatch.undo()
+    assert all(lines.eligible(t) == e for t, e in found)
