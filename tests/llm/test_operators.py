@@ -807,3 +807,27 @@ def test_lines_of_any_script_are_normalised_alike(monkeypatch):
     assert not tries  # no line by itself
     monkeypatch.undo()
     assert all(lines.eligible(t) == e for t, e in found)
+
+
+def test_small_tables_of_decontamination_are_few_files(spark):
+    """Else each shuffle partition writes one, and each file starts a process on an executor."""
+    import os
+
+    from tidemark.llm.common import Scratch
+
+    rng = random.Random(17)
+    items = [prose(rng, 40) for _ in range(60)]
+    docs = spark.createDataFrame([(i, prose(rng, 50) + " " + t + " " + prose(rng, 50)) for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        scratch = Scratch(spark)
+        found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, bench, scratch=scratch).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert found == {(i, i): 1.0 for i in range(60)}
+    files = [sum(x.startswith("part-") for x in os.listdir(path.removeprefix("file:"))) for _, path in scratch.paths.values()]
+    assert sorted(files)[:4] == [1, 1, 1, 1], files

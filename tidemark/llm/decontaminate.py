@@ -87,10 +87,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     """
     scratch = scratch or Scratch(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().select("item_id", shingles(F.col("text"), shingle).alias("shingles")).withColumn("m", F.size("shingles")).where("m > 0")
-    items = scratch.save(items.withColumn("item", F.monotonically_increasing_id()))
-    item_rows = scratch.save(items.select("item", "m", F.explode("shingles").alias("h")))
-    item_fp = scratch.save(item_rows.groupBy("item", "m").agg(*lane_sums(F.col("h"))).select("item", "m", fingerprint(F.col("m")).alias("item_fp")))
-    small = item_rows.count() * (radius + 1) <= BROADCAST_ROWS
+    n_items = benchmark.count()
+    items = scratch.save(items.withColumn("item", F.monotonically_increasing_id()), rows=n_items)
+    n_rows = items.agg(F.sum("m")).first()[0] or 0
+    item_rows = scratch.save(items.select("item", "m", F.explode("shingles").alias("h")), rows=n_rows)
+    item_fp = scratch.save(item_rows.groupBy("item", "m").agg(*lane_sums(F.col("h"))).select("item", "m", fingerprint(F.col("m")).alias("item_fp")), rows=n_items)
+    small = n_rows * (radius + 1) <= BROADCAST_ROWS
 
     def few(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
@@ -111,7 +113,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR, rad
     named = opened.select("doc_id", "text_key", "w", "item", "m", F.explode(starts).alias("start")).distinct()
     named = scratch.save(named.withColumn("window_id", F.xxhash64("doc_id", "text_key", "w", "start")))
     windows = named.select("window_id", "doc_id", "text_key", "w", "start").distinct()
-    holders = scratch.save(named.select("doc_id", "text_key").distinct())
+    holders = scratch.save(named.select("doc_id", "text_key").distinct(), rows=hits.count())
     holders = F.broadcast(holders) if holders.count() <= BROADCAST_ROWS else holders  # two numbers a row
     again = keyed.alias("d").join(holders.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & F.col("d.text_key").eqNullSafe(F.col("h.text_key")), "left_semi")
     texts = scratch.save(again.select("doc_id", "text_key", shingles(F.col("text"), shingle).alias("s")).dropDuplicates(["doc_id", "text_key"]))
