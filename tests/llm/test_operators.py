@@ -831,3 +831,59 @@ def test_small_tables_of_decontamination_are_few_files(spark):
     assert found == {(i, i): 1.0 for i in range(60)}
     files = [sum(x.startswith("part-") for x in os.listdir(path.removeprefix("file:"))) for _, path in scratch.paths.values()]
     assert sorted(files)[:4] == [1, 1, 1, 1], files
+
+
+def test_parts_of_dissimilar_lines_tell_them_apart(monkeypatch):
+    rng, xs, ys = random.Random(21), [], []
+    for k in range(400):
+        x = prose(rng, rng.choice([1, 3, 12, 30, 90]))
+        if k % 2:
+            y = list(x)
+            for _ in range(rng.randint(0, len(x) // 3)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randint(0, 2)] = rng.choice(["", "é", "字z", "\U0001d518"])
+            y = "".join(y) or "y"
+        else:
+            y = prose(rng, 1 + len(x) // 6)
+        xs.append(x)
+        ys.append(y)
+    apart = np.array([edits.edits(x, y) for x, y in zip(xs, ys)])
+    for parts in (7, 4096):
+        monkeypatch.setattr(edits, "PARTS", parts)
+        for most in (apart, apart + 1, apart + 40, np.maximum(apart - 1, 0)):
+            assert not (edits.surely_beyond(xs, ys, most) & (apart <= most)).any()
+        most = np.array([max(len(x), len(y)) // 5 for x, y in zip(xs, ys)])
+        beyond, far = edits.surely_beyond(xs, ys, most), (apart > most) & (np.arange(400) % 2 == 0)
+        assert not (beyond & (apart <= most)).any() and beyond[far].sum() > 0.7 * far.sum()
+    assert edits.within(xs, ys, most.tolist()).tolist() == (apart <= most).tolist()
+    # Unrelated lines don't come to a table.
+    tabled = []
+    monkeypatch.setattr(edits, "table", lambda xs, ys, most: tabled.extend(xs) or np.zeros(len(xs), dtype=bool))
+    xs, ys = ([prose(rng, 40) for _ in range(200)] for _ in "xy")
+    assert not edits.within(xs, ys, [max(len(x), len(y)) // 5 for x, y in zip(xs, ys)]).any()
+    assert len(tabled) < 20
+
+
+def test_line_sketches_are_sums_over_words():
+    rng = random.Random(8)
+    some = [prose(rng, n) for n in (1, 2, 9, 30, 200, 14000)] + ["字 ab字字c déjà " * 9, "...", "ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab ab"]
+    assert lines.word_sketches([x.encode() for x in some], np.zeros(len(some), bool))[1].max() == len(some) - 1
+
+    def digest(piece):
+        total = sum((c + 1) * pow(lines.BASE, i, 1 << 64) for i, c in enumerate(piece)) % (1 << 64)
+        return int(lines.mix(np.array([total], dtype=np.uint64))[0])
+
+    fps, places, keys = lines.word_sketches([x.encode() for x in some], np.zeros(len(some), bool))
+    for k in (0, 1, 2, 3, 4, 7, 8):
+        words = some[k].encode().split()
+        sums = [sum(len(w) * (1 if digest(w) >> b & 1 else -1) for w in words) for b in range(64)]
+        assert int(fps[k]) == sum(1 << b for b, s in enumerate(sums) if s > 0)
+        ends = list(accumulate(len(w) + 1 for w in words))
+        starts = [0, *ends[:-1]]
+        runs = set()
+        for i, s in enumerate(starts):
+            e = next((e - 1 for e in ends if e - 1 >= s + lines.SPAN), len(some[k]) if not i else None)
+            if e:
+                runs.add(digest(some[k].encode()[s:e]))
+        runs = sorted({int(lines.mix(np.array([r ^ lines.SPAN], dtype=np.uint64))[0]) >> 16 for r in runs})[: lines.KEYS]
+        assert sorted(int(x) for x in keys[places == k]) == sorted(int(lines.mix(np.array([r << 16], dtype=np.uint64))[0]) for r in runs)
